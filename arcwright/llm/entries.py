@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from arcwright.llm.bpe import bpe_query
 from arcwright.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup_query
 from arcwright.llm.quality import QUALITY_SQL, quality_query
 from arcwright.llm.simhash import simhash_query
@@ -10,6 +11,7 @@ from arcwright.llm.simhash import simhash_query
 def queries():
     return {
         "op1_exact_dedup": exact_dedup_query,
+        "op2_bpe": bpe_query,
         "op4_simhash_near_dedup": simhash_query,
         "op9_quality_rules": quality_query,
     }
