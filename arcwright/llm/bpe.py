@@ -70,11 +70,8 @@ class TrieEncoder:
             self.bytes_of[i] = token
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        #: token lengths that occur by last byte: the suffixes worth looking up
-        lengths: dict[int, set[int]] = {}
-        for token in self.ids:
-            lengths.setdefault(token[-1], set()).add(len(token))
-        self.suffix_lengths = {b: sorted(ls, reverse=True) for b, ls in lengths.items()}
+        #: every suffix of a token -> the token it is, or -1
+        self.suffixes = {t[k:]: -1 for t in self.ids for k in range(len(t))} | self.ids
         self._stable: dict[tuple[int, int], bool] = {}
         self._marks = {_MARK + t: i.to_bytes(4, "little") for t, i in self.special.items()}
         self._words: dict[str, bytes] = dict(self._marks)
@@ -131,7 +128,7 @@ class TrieEncoder:
                 node = below
             node[-1] = word
         # Depth first. Along the path, ``last[d]`` is the last token of the prefix of d bytes.
-        ids, lengths_of, stable = self.ids, self.suffix_lengths, self._stable
+        suffixes, stable = self.suffixes, self._stable
         last: list[int] = [-1]
         stack: list[tuple[bytes, dict]] = [(b"", root)]
         while stack:
@@ -139,10 +136,13 @@ class TrieEncoder:
             n = len(path)
             if n:
                 del last[n:]
-                for length in lengths_of[path[-1]]:
-                    if length > n or (token := ids.get(path[n - length :])) is None:
-                        continue
-                    pair = (last[n - length], token)
+                found, k = [], n - 1
+                while k >= 0 and (token := suffixes.get(path[k:])) is not None:
+                    if token >= 0:
+                        found.append((k, token))
+                    k -= 1
+                for k, token in reversed(found):
+                    pair = (last[k], token)
                     fits = stable.get(pair)
                     if fits or (fits is None and self.fits(*pair)):
                         last.append(token)
