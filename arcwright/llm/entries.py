@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from arcwright.llm.bpe import bpe_query
 from arcwright.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup_query
+from arcwright.llm.mixture import MIXTURE_SQL, mixture_query
 from arcwright.llm.quality import QUALITY_SQL, quality_query
 from arcwright.llm.simhash import simhash_query
 
@@ -13,6 +14,7 @@ def queries():
         "op1_exact_dedup": exact_dedup_query,
         "op2_bpe": bpe_query,
         "op4_simhash_near_dedup": simhash_query,
+        "op8_source_mixture": mixture_query,
         "op9_quality_rules": quality_query,
     }
 
@@ -20,5 +22,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_exact_dedup": EXACT_DEDUP_SQL,
+        "op8_source_mixture": MIXTURE_SQL,
         "op9_quality_rules": QUALITY_SQL,
     }
