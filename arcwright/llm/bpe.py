@@ -253,11 +253,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool =
             columns += [pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)]
             yield pa.RecordBatch.from_arrays(columns, out.columns)
 
-    return mine.withColumn("_whole", _column(docs, text)).mapInArrow(run, out.schema)
-
-
-def _column(docs: DataFrame, text: str):
-    return text_or_empty(docs[text])
+    whole = docs.select(*[F.col(f"`{c}`") for c in mine.columns], text_or_empty(text).alias("_whole"))
+    return whole.mapInArrow(run, out.schema)
 
 
 def default_vocabulary() -> str:
