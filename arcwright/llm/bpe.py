@@ -237,6 +237,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool =
         if ids or name != "token_ids":
             out = out.withColumn(name, F.lit(None).cast(kind))
 
+    names = out.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
@@ -251,7 +253,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool =
             if ids:
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
             columns += [pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)]
-            yield pa.RecordBatch.from_arrays(columns, out.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     whole = docs.select(*[F.col(f"`{c}`") for c in mine.columns], text_or_empty(text).alias("_whole"))
     return whole.mapInArrow(run, out.schema)
