@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from arcwright.llm.bpe import bpe_query
+from arcwright.llm.chat import chat_query
 from arcwright.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup_query
 from arcwright.llm.mixture import MIXTURE_SQL, mixture_query
 from arcwright.llm.quality import QUALITY_SQL, quality_query
 from arcwright.llm.simhash import simhash_query
+from arcwright.llm.warc import WARC_SQL, warc_query
 
 
 def queries():
@@ -14,8 +16,10 @@ def queries():
         "op1_exact_dedup": exact_dedup_query,
         "op2_bpe": bpe_query,
         "op4_simhash_near_dedup": simhash_query,
+        "op7_chat_format": chat_query,
         "op8_source_mixture": mixture_query,
         "op9_quality_rules": quality_query,
+        "op10_warc": warc_query,
     }
 
 
@@ -24,4 +28,5 @@ def oracle_sql():
         "op1_exact_dedup": EXACT_DEDUP_SQL,
         "op8_source_mixture": MIXTURE_SQL,
         "op9_quality_rules": QUALITY_SQL,
+        "op10_warc": WARC_SQL,
     }
