@@ -66,6 +66,15 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def _pinned(column: Column) -> Column:
+    """The same values, evaluated once per row where they stand.
+
+    A filter on a result is otherwise pushed below, with the expressions written out in place of
+    their names; an array named inside a lambda would then be made anew for each element.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def _repeated_words(words_col: Column, packed: Column) -> Column:
     """Words inside three-word windows that occur twice or more.
 
@@ -122,7 +131,7 @@ def score_quality(
     split = docs.select(
         *keep,
         whole.alias("_text"),
-        words(whole).alias("_words"),
+        _pinned(words(whole)).alias("_words"),
         F.filter(F.split(whole, "\n"), lambda x: x.rlike(f"[^{WS}]")).alias("_lines"),
     )
     hashed = F.transform(
@@ -131,7 +140,7 @@ def score_quality(
             F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)), POSITION_BITS
         ).bitwiseOR(i.cast("long")),
     )
-    sorted_ = split.select("*", F.sort_array(hashed).alias("_packed"))
+    sorted_ = split.select("*", _pinned(F.sort_array(hashed)).alias("_packed"))
     counted = sorted_.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in made],
         F.size("_words").cast("long").alias("n_words"),
@@ -140,7 +149,7 @@ def score_quality(
         .cast("long")
         .alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("_words"), F.col("_packed")).alias("n_repeat_words"),
+        _pinned(_repeated_words(F.col("_words"), F.col("_packed"))).alias("n_repeat_words"),
         F.size(F.filter("_words", lambda w: F.lower(w).isin(stop))).cast("long").alias("n_stop_words"),
         F.size("_lines").cast("long").alias("n_lines"),
     )
