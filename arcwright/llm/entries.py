@@ -5,6 +5,7 @@ from __future__ import annotations
 from arcwright.llm.bpe import bpe_query
 from arcwright.llm.chat import chat_query
 from arcwright.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup_query
+from arcwright.llm.lm import lm_query
 from arcwright.llm.mixture import MIXTURE_SQL, mixture_query
 from arcwright.llm.quality import QUALITY_SQL, quality_query
 from arcwright.llm.simhash import simhash_query
@@ -15,6 +16,7 @@ def queries():
     return {
         "op1_exact_dedup": exact_dedup_query,
         "op2_bpe": bpe_query,
+        "op3_lm_score": lm_query,
         "op4_simhash_near_dedup": simhash_query,
         "op7_chat_format": chat_query,
         "op8_source_mixture": mixture_query,
