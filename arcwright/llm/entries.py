@@ -9,6 +9,7 @@ from arcwright.llm.lm import lm_query
 from arcwright.llm.mixture import MIXTURE_SQL, mixture_query
 from arcwright.llm.quality import QUALITY_SQL, quality_query
 from arcwright.llm.simhash import simhash_query
+from arcwright.llm.substring import substring_query
 from arcwright.llm.warc import WARC_SQL, warc_query
 
 
@@ -18,6 +19,7 @@ def queries():
         "op2_bpe": bpe_query,
         "op3_lm_score": lm_query,
         "op4_simhash_near_dedup": simhash_query,
+        "op5_substring_dedup": substring_query,
         "op7_chat_format": chat_query,
         "op8_source_mixture": mixture_query,
         "op9_quality_rules": quality_query,
