@@ -5,6 +5,7 @@ from __future__ import annotations
 from arcwright.llm.bpe import bpe_query
 from arcwright.llm.chat import chat_query
 from arcwright.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup_query
+from arcwright.llm.lines import line_query
 from arcwright.llm.lm import lm_query
 from arcwright.llm.mixture import MIXTURE_SQL, mixture_query
 from arcwright.llm.quality import QUALITY_SQL, quality_query
@@ -20,6 +21,7 @@ def queries():
         "op3_lm_score": lm_query,
         "op4_simhash_near_dedup": simhash_query,
         "op5_substring_dedup": substring_query,
+        "op6_line_dedup": line_query,
         "op7_chat_format": chat_query,
         "op8_source_mixture": mixture_query,
         "op9_quality_rules": quality_query,
