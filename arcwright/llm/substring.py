@@ -38,7 +38,6 @@ WINNOW, REACH = 11, 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
-_POWERS = _ODD ** np.arange(1 << 10, dtype=np.uint64)
 #: Multipliers and offsets of the permutations, from a fixed seed.
 _PERMS = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
@@ -87,18 +86,15 @@ class Stream:
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of the words in ``[start, end)`` for each pair: differences of prefix hashes."""
         n = len(self.h)
-        # Blocks keep the powers in a table: sums of a block, then of what is left of it.
-        weights = _power(np.arange(n))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(_mix(self.h) * weights, dtype=np.uint64)))
-        return _mix((sums[end] - sums[start]) * _power(n - start) + (end - start).astype(np.uint64))
-
-
-def _power(exponents: np.ndarray) -> np.ndarray:
-    low, high = exponents & 1023, exponents >> 10
-    step = _POWERS[1023] * _ODD
-    top = int(high.max(initial=0)) + 1
-    ladder = np.cumprod(np.concatenate(([np.uint64(1)], np.full(top, step, np.uint64))), dtype=np.uint64)
-    return _POWERS[low] * ladder[high]
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(_mix(self.h) * _power(_ODD, n), dtype=np.uint64)))
+        # Back to the weights of a span that starts at 0: the multiplier is odd, so it has an inverse.
+        back = _power(np.uint64(pow(int(_ODD), -1, 1 << 64)), n)
+        return _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of a number, modulo 2**64."""
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64))), dtype=np.uint64)[:n]
 
 
 def _anchors(stream: Stream, s: np.ndarray) -> np.ndarray:
