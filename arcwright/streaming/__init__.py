@@ -1 +1 @@
-
+"""Empty on purpose: graphs are built from static input and no query of the engine is a stream."""
