@@ -166,3 +166,24 @@ def chat_query(spark, sf_dir):
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
     vocabulary = default_vocabulary()
     return read_back(format_turns(turns.unionByName(probe), vocabulary), vocabulary)
+
+
+def _escape_sql(column: str) -> str:
+    out = rf"replace({column}, '\', '\\')"
+    for mark in CONTROL:
+        out = rf"replace({out}, '{mark}', '{mark[0]}\{mark[1:]}')"
+    return out
+
+
+#: The same digests from the rows themselves; only the length of the formatted text needs the template.
+CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+e AS (SELECT *, length({_escape_sql("role")}) + length({_escape_sql("text")}) + {len(TURN + TEXT + END)} AS n FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = '{LEARNED}'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{LEARNED}'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from arcwright.llm.bpe import bpe_query
-from arcwright.llm.chat import chat_query
+from arcwright.llm.chat import CHAT_SQL, chat_query
 from arcwright.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup_query
 from arcwright.llm.lines import line_query
 from arcwright.llm.lm import lm_query
@@ -32,6 +32,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_exact_dedup": EXACT_DEDUP_SQL,
+        "op7_chat_format": CHAT_SQL,
         "op8_source_mixture": MIXTURE_SQL,
         "op9_quality_rules": QUALITY_SQL,
         "op10_warc": WARC_SQL,
