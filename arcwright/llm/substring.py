@@ -33,6 +33,8 @@ MIN_WORDS = 50
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
+#: Words of 64 bits in a paragraph's sketch.
+SKETCH = 8
 #: Neighbours an anchor is the least of, and shingles on either side of it in its window.
 WINNOW, REACH = 11, 18
 
@@ -132,7 +134,17 @@ def _bands(stream: Stream, s: np.ndarray, lines: np.ndarray) -> np.ndarray:
     return keys
 
 
-_UNITS = "kind int, key long, doc long, start int, stop int, bands array<long>"
+def _sketches(stream: Stream, s: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """A bitmap of each line's shingles, SKETCH words of 64 bits."""
+    starts, ends = stream.line_starts[lines], stream.line_ends[lines] - WIDTH + 1
+    lengths = ends - starts
+    cuts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    mine = s[np.repeat(starts - cuts, lengths) + np.arange(lengths.sum())]
+    bit, word = np.uint64(1) << (mine & np.uint64(63)), (mine >> np.uint64(6)) % np.uint64(SKETCH)
+    return np.stack([np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), cuts) for k in range(SKETCH)], axis=1)
+
+
+_UNITS = "kind int, key long, doc long, start int, stop int, bands array<long>, sketch array<long>"
 
 
 def _find_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,19 +157,19 @@ def _find_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = stream.spans(at - REACH, at + REACH + WIDTH)
             doc = stream.doc[at]
             offset = stream.starts[doc]
-            yield _units(0, keys, ids[doc], at - REACH - offset, at + REACH + WIDTH - offset, None)
+            yield _units(0, keys, ids[doc], at - REACH - offset, at + REACH + WIDTH - offset, None, None)
         lines = _lines(stream)
         if len(lines):
             starts, ends = stream.line_starts[lines], stream.line_ends[lines]
             doc = stream.line_doc[lines]
             offset = stream.starts[doc]
             bands = _bands(stream, s, lines).view(np.int64)
-            yield _units(1, stream.spans(starts, ends), ids[doc], starts - offset, ends - offset, bands)
+            sketches = _sketches(stream, s, lines).view(np.int64)
+            yield _units(1, stream.spans(starts, ends), ids[doc], starts - offset, ends - offset, bands, sketches)
 
 
-def _units(kind: int, keys, docs, start, stop, bands) -> pa.RecordBatch:
+def _units(kind: int, keys, docs, start, stop, *lists) -> pa.RecordBatch:
     n = len(keys)
-    lists = pa.nulls(n, pa.list_(pa.int64())) if bands is None else pa.array(list(bands), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(n, kind, np.int32)),
@@ -165,9 +177,9 @@ def _units(kind: int, keys, docs, start, stop, bands) -> pa.RecordBatch:
             pa.array(docs),
             pa.array(start.astype(np.int32)),
             pa.array(stop.astype(np.int32)),
-            lists,
+            *[pa.nulls(n, pa.list_(pa.int64())) if x is None else pa.array(list(x), pa.list_(pa.int64())) for x in lists],
         ],
-        ["kind", "key", "doc", "start", "stop", "bands"],
+        ["kind", "key", "doc", "start", "stop", "bands", "sketch"],
     )
 
 
@@ -183,20 +195,92 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
 
+def _may_be_similar(a: str, b: str):
+    """What the sketches of two paragraphs allow, as a condition on struct columns ``a`` and ``b``.
+
+    A bit that one sketch has and the other lacks is a shingle that only one has. A similarity of
+    t needs t / (1 + t) of both sizes in common; sizes lie between the bits set and the words.
+    """
+    share = THRESHOLD / (1 + THRESHOLD)
+
+    def only(x: str, y: str):
+        missing = [F.bit_count(F.get(f"{x}.sketch", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"{y}.sketch", F.lit(k))))) for k in range(SKETCH)]
+        set_bits = [F.bit_count(F.get(f"{y}.sketch", F.lit(k))) for k in range(SKETCH)]
+        return sum(missing[1:], missing[0]) <= (1 - share) * F.col(f"{x}.n") - share * sum(set_bits[1:], set_bits[0])
+
+    return only(a, b) & only(b, a)
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket, one of them open, that the sketches allow; rows come sorted by bucket.
+
+    A bucket is held as sketches, about a hundred bytes a paragraph, and compared row against rows.
+    """
+    share = THRESHOLD / (1 + THRESHOLD)
+
+    def pairs(key, n, open_, sketch):
+        bits = np.bitwise_count(sketch).sum(axis=1)
+        for k in np.flatnonzero(open_).tolist():
+            mine, theirs = sketch[k], sketch
+            here = np.bitwise_count(mine & ~theirs).sum(axis=1) <= (1 - share) * n[k] - share * bits
+            there = np.bitwise_count(theirs & ~mine).sum(axis=1) <= (1 - share) * n - share * bits[k]
+            for j in np.flatnonzero(here & there & (key != key[k])).tolist():
+                yield max(key[k], key[j]), min(key[k], key[j])
+
+    def emit(columns):
+        found = list(pairs(*columns))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["key", "other"])
+
+    band, held = None, None
+    for batch in batches:
+        bands = np.asarray(batch.column(0))
+        sketches = np.asarray(batch.column(4).flatten()).reshape(-1, SKETCH).view(np.uint64)
+        columns = [np.asarray(batch.column(1)), np.asarray(batch.column(2)), np.array(batch.column(3).to_pylist()), sketches]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(bands)) + 1, [len(bands)]))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = [c[a:b] for c in columns]
+            if held is not None and bands[a] == band:
+                held = [np.concatenate(x) for x in zip(held, part, strict=True)]
+                continue
+            if held is not None:
+                yield from emit(held)
+            band, held = bands[a], part
+    if held is not None:
+        yield from emit(held)
+
+
 def _similar_lines(units: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(key, other)``: pairs of different paragraphs of Jaccard THRESHOLD or more, enough to span each class."""
+    """``(key, other)``: pairs of different paragraphs of Jaccard THRESHOLD or more, enough to span each class.
+
+    Sketches are part of the condition on which paragraphs meet, so that many that were each
+    changed elsewhere do not become pairs.
+    """
     lines = materialize(
-        units.filter("kind = 1").groupBy("key").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands")), "sub-lines"
+        units.filter("kind = 1")
+        .groupBy("key")
+        .agg(
+            F.min("doc").alias("doc"),
+            F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
+            F.first(F.col("stop") - F.col("start") - (WIDTH - 1)).alias("n"),
+            (-F.count("*")).alias("rare"),
+        ),
+        "sub-lines",
     )
-    members = lines.select("key", "doc", F.explode("bands").alias("band"))
-    centre = members.groupBy("band").agg(F.min("key").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(members.join(centre, "band").select("band", "key", "doc", "centre"), "sub-bands")
+    # The commonest paragraph of a bucket is its centre: what was changed differs least from it.
+    paragraph = F.struct("rare", "key", "n", "sketch")
+    members = lines.select(paragraph.alias("p"), "doc", F.explode("bands").alias("band"))
+    centre = members.groupBy("band").agg(F.min("p").alias("c"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = materialize(members.join(centre, "band"), "sub-bands")
+    others = members.filter("p.key <> c.key")
+    starred = others.filter(_may_be_similar("p", "c")).select(F.col("p.key").alias("key"), F.col("c.key").alias("other"))
     owners = members.select("doc").distinct()
     sets = (
         rows.join(owners, F.col("_i") == F.col("doc"), "left_semi")
         .select("_t")
         .mapInArrow(_line_sets, "key long, shingles array<long>")
-        .join(members.select("key").distinct(), "key", "left_semi")
+        .join(members.select("p.key").distinct(), "key", "left_semi")
         .dropDuplicates(["key"])
     )
     sets = materialize(sets, "sub-sets")
@@ -206,17 +290,14 @@ def _similar_lines(units: DataFrame, rows: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("_a", "_b"))
         return joined.filter(common >= THRESHOLD * (F.size("_a") + F.size("_b") - common)).select("key", "other")
 
-    first = materialize(
-        verified(members.filter("key <> centre").select("key", F.col("centre").alias("other")).distinct()), "sub-pairs"
-    )
+    first = materialize(verified(starred.distinct()), "sub-pairs")
     # What its bucket's smallest did not link meets the others of the bucket.
-    open_ = members.filter("key <> centre").join(
-        first.withColumnRenamed("other", "centre"), ["key", "centre"], "left_anti"
-    )
-    rest = open_.select("band", "key").join(
-        members.filter("key <> centre").select("band", F.col("key").alias("other")), "band"
-    )
-    rest = rest.filter("key <> other").select(F.greatest("key", "other").alias("key"), F.least("key", "other").alias("other"))
+    linked = first.select(F.col("key").alias("_k"), F.col("other").alias("_o"))
+    open_ = others.join(linked, (F.col("p.key") == F.col("_k")) & (F.col("c.key") == F.col("_o")), "left_anti")
+    flags = open_.select("band", "p.key", F.lit(True).alias("open"))
+    dealt = others.select("band", "p.key", "p.n", "p.sketch").join(flags, ["band", "key"], "left")
+    buckets = dealt.select("band", "key", "n", F.coalesce("open", F.lit(False)).alias("open"), "sketch")
+    rest = buckets.repartition("band").sortWithinPartitions("band").mapInArrow(_bucket_pairs, "key long, other long")
     return first.union(verified(rest.distinct()))
 
 
@@ -240,7 +321,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     )
     owners = exact.filter("kind = 0").union(line_owner)
     return (
-        units.drop("bands")
+        units.drop("bands", "sketch")
         .join(owners, ["kind", "key"])
         .filter("doc <> owner")
         .select(F.col("doc").alias(id_col), "start", "stop", "owner")
