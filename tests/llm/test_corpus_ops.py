@@ -274,3 +274,36 @@ def test_native_plans_have_no_python(spark, odd):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
     assert "Arrow" in simhash.simhash_dedup(odd)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paragraph_classes_equal_all_pairs(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(110)]
+        texts += [" ".join(base)] * 3
+        for _ in range(25):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+                words[rng.randrange(len(words))] = f"n{rng.randint(0, 10**6)}"
+            texts.append(" ".join(words))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.select(F.col("text").cast("binary").alias("_t"), F.col("doc_id").alias("_i"))
+    units = rows.mapInArrow(substring._find_units, substring._UNITS)
+    pairs = {tuple(r) for r in substring._similar_lines(units, rows).collect()}
+    key = {r["doc"]: r["key"] for r in units.filter("kind = 1").collect()}
+    root = {k: k for k in key.values()}
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = {k: (x if r == y else r) for k, r in root.items()}
+    mine = [root[key[k]] for k in range(len(texts))]
+    same = [(group[a] == group[b], mine[a] == mine[b]) for a in range(len(texts)) for b in range(a)]
+    assert not any(found and not true for true, found in same)
+    assert sum(true and found for true, found in same) >= 0.97 * sum(true for true, _ in same)
