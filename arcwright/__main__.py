@@ -89,6 +89,9 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "bench":
             graph = engine.open(a.name)
             summary("distance", [graph.shortest_distance(a.source, a.target) for _ in range(5)])
+            for row in graph.pool_sweep(a.source, a.target).value:
+                hits = 1 - row["read"] / row["requested"] if row["requested"] else 0
+                print(f"{row['capacity']:>6,} blocks: {row['read']:,} read of {row['requested']:,}, {hits:.1%} hit")
         else:
             graph = engine.open(a.name)
             rows = graph.edges.select("src", "dst").limit(10_000).collect()

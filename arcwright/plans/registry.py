@@ -16,6 +16,7 @@ from arcwright.functions.geometry import (
 )
 from arcwright.functions.hashing import probe_table, with_edge_hash
 from arcwright.functions.names import sanitize_name_column
+from arcwright.functions.pool import pool_sweep as sweep
 from arcwright.operators import adjacency, paths, ranking, strong
 from arcwright.plans import graphs
 from arcwright.session import materialize
@@ -544,6 +545,14 @@ def probe_lengths(spark, sf_dir):
     return probe_table(edges, edges.count()).groupBy("probes").agg(F.count("*").alias("edges"))
 
 
+@query()
+def pool_sweep(spark, sf_dir):
+    """Blocks that pools of several sizes read for a distance query; expansion order is sequential."""
+    edges = graphs.kept_edges(spark, sf_dir, sparse=True).withColumn("ord", F.col("src") * (1 << 31) + F.col("dst"))
+    n = graphs.nodes(spark, sf_dir).count()
+    return sweep(n, edges, SOURCE, n - 1)
+
+
 _NAMES = ["graph.txt", "/etc/passwd", "my graph!.CSV", "../..//name", "a.b.edges", "--x__.tsv", "é", "///", "x" * 80, " p2p.txt "]
 
 

@@ -51,6 +51,13 @@ def test_paths(graph):
     assert graph.knn(0, 3).value == [(1, 1), (2, 2), (3, 3)] and len(graph.knn(0, 99).value) == 4
 
 
+def test_pool_sweep(graph):
+    rows = graph.pool_sweep(0, 4).value
+    # Four nodes are expanded; all records are in one block, all runs in another.
+    assert [(r["capacity"], r["requested"], r["read"]) for r in rows] == [(1, 8, 8)] + [(c, 8, 2) for c in (4, 16, 64, 256, 1024)]
+    assert graph.pool_sweep(4, 4).value[0]["requested"] == 0
+
+
 def test_ranks_and_scores(graph):
     rows = graph.rank_list(1, 99).value
     assert [r["rank"] for r in rows] == list(range(1, 9))
