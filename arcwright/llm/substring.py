@@ -269,18 +269,22 @@ def _similar_lines(units: DataFrame, rows: DataFrame) -> DataFrame:
         "sub-lines",
     )
     # The commonest paragraph of a bucket is its centre: what was changed differs least from it.
-    paragraph = F.struct("rare", "key", "n", "sketch")
-    members = lines.select(paragraph.alias("p"), "doc", F.explode("bands").alias("band"))
-    centre = members.groupBy("band").agg(F.min("p").alias("c"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = materialize(members.join(centre, "band"), "sub-bands")
-    others = members.filter("p.key <> c.key")
-    starred = others.filter(_may_be_similar("p", "c")).select(F.col("p.key").alias("key"), F.col("c.key").alias("other"))
-    owners = members.select("doc").distinct()
+    narrow = lines.select("key", "rare", F.explode("bands").alias("band"))
+    centre = narrow.groupBy("band").agg(F.min(F.struct("rare", "key")).alias("c"), F.count("*").alias("m")).filter("m > 1")
+    members = narrow.drop("rare").join(centre.select("band", F.col("c.key").alias("centre")), "band")
+    members = materialize(members, "sub-bands")
+    # Sketches and owners only of what collides.
+    colliding = lines.join(members.select("key").distinct(), "key", "left_semi")
+    colliding = materialize(colliding.select("key", "doc", F.struct("key", "n", "sketch").alias("p")), "sub-sketches")
+    others = members.filter("key <> centre").join(colliding.select("key", "p"), "key")
+    others = others.join(colliding.select(F.col("key").alias("centre"), F.col("p").alias("c")), "centre")
+    starred = others.filter(_may_be_similar("p", "c")).select("key", F.col("centre").alias("other"))
+    owners = colliding.select("doc").distinct()
     sets = (
         rows.join(owners, F.col("_i") == F.col("doc"), "left_semi")
         .select("_t")
         .mapInArrow(_line_sets, "key long, shingles array<long>")
-        .join(members.select("p.key").distinct(), "key", "left_semi")
+        .join(colliding.select("key"), "key", "left_semi")
         .dropDuplicates(["key"])
     )
     sets = materialize(sets, "sub-sets")
@@ -292,11 +296,13 @@ def _similar_lines(units: DataFrame, rows: DataFrame) -> DataFrame:
 
     first = materialize(verified(starred.distinct()), "sub-pairs")
     # What its bucket's smallest did not link meets the others of the bucket.
-    linked = first.select(F.col("key").alias("_k"), F.col("other").alias("_o"))
-    open_ = others.join(linked, (F.col("p.key") == F.col("_k")) & (F.col("c.key") == F.col("_o")), "left_anti")
-    flags = open_.select("band", "p.key", F.lit(True).alias("open"))
-    dealt = others.select("band", "p.key", "p.n", "p.sketch").join(flags, ["band", "key"], "left")
-    buckets = dealt.select("band", "key", "n", F.coalesce("open", F.lit(False)).alias("open"), "sketch")
+    open_ = members.filter("key <> centre").join(first.toDF("key", "centre"), ["key", "centre"], "left_anti")
+    flags = open_.select("band", "key", F.lit(True).alias("open"))
+    dealt = members.filter("key <> centre").join(flags, ["band", "key"], "left")
+    dealt = dealt.select("band", "key", F.coalesce("open", F.lit(False)).alias("open"))
+    # Buckets in which everything is linked are done.
+    unsettled = dealt.join(flags.select("band").distinct(), "band", "left_semi")
+    buckets = unsettled.join(colliding.select("key", "p"), "key").select("band", "key", "p.n", "open", "p.sketch")
     rest = buckets.repartition("band").sortWithinPartitions("band").mapInArrow(_bucket_pairs, "key long, other long")
     return first.union(verified(rest.distinct()))
 
