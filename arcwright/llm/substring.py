@@ -212,20 +212,28 @@ def _may_be_similar(a: str, b: str):
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket, one of them open, that the sketches allow; rows come sorted by bucket.
+    """Pairs of Jaccard THRESHOLD or more that span each bucket's classes; rows come sorted by bucket.
 
-    A bucket is held as sketches, about a hundred bytes a paragraph, and compared row against rows.
+    Paragraphs that are not open are one class already, their centre's. An open one is compared
+    with what its sketch allows and its class does not hold yet, and only pairs that join two
+    classes are returned, at most one per paragraph.
     """
     share = THRESHOLD / (1 + THRESHOLD)
 
-    def pairs(key, n, open_, sketch):
+    def pairs(key, n, open_, sketch, shingles):
         bits = np.bitwise_count(sketch).sum(axis=1)
+        sets = [frozenset(x) for x in shingles]
+        group = np.where(open_, np.arange(len(key)) + 1, 0)
         for k in np.flatnonzero(open_).tolist():
-            mine, theirs = sketch[k], sketch
-            here = np.bitwise_count(mine & ~theirs).sum(axis=1) <= (1 - share) * n[k] - share * bits
-            there = np.bitwise_count(theirs & ~mine).sum(axis=1) <= (1 - share) * n - share * bits[k]
-            for j in np.flatnonzero(here & there & (key != key[k])).tolist():
-                yield max(key[k], key[j]), min(key[k], key[j])
+            here = np.bitwise_count(sketch[k] & ~sketch).sum(axis=1) <= (1 - share) * n[k] - share * bits
+            there = np.bitwise_count(sketch & ~sketch[k]).sum(axis=1) <= (1 - share) * n - share * bits[k]
+            for j in np.flatnonzero(here & there).tolist():
+                if group[j] == group[k]:
+                    continue
+                common = len(sets[k] & sets[j])
+                if common >= THRESHOLD * (len(sets[k]) + len(sets[j]) - common):
+                    group[group == group[k]] = group[j]
+                    yield key[k], key[j]
 
     def emit(columns):
         found = list(pairs(*columns))
@@ -236,7 +244,10 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         bands = np.asarray(batch.column(0))
         sketches = np.asarray(batch.column(4).flatten()).reshape(-1, SKETCH).view(np.uint64)
-        columns = [np.asarray(batch.column(1)), np.asarray(batch.column(2)), np.array(batch.column(3).to_pylist()), sketches]
+        shingles = np.empty(len(bands), object)
+        for k, x in enumerate(batch.column(5).to_pylist()):
+            shingles[k] = x
+        columns = [np.asarray(batch.column(1)), np.asarray(batch.column(2)), np.array(batch.column(3).to_pylist()), sketches, shingles]
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(bands)) + 1, [len(bands)]))
         for a, b in zip(cuts, cuts[1:], strict=False):
             part = [c[a:b] for c in columns]
@@ -302,9 +313,10 @@ def _similar_lines(units: DataFrame, rows: DataFrame) -> DataFrame:
     dealt = dealt.select("band", "key", F.coalesce("open", F.lit(False)).alias("open"))
     # Buckets in which everything is linked are done.
     unsettled = dealt.join(flags.select("band").distinct(), "band", "left_semi")
-    buckets = unsettled.join(colliding.select("key", "p"), "key").select("band", "key", "p.n", "open", "p.sketch")
+    buckets = unsettled.join(colliding.select("key", "p").join(sets, "key"), "key")
+    buckets = buckets.select("band", "key", "p.n", "open", "p.sketch", "shingles")
     rest = buckets.repartition("band").sortWithinPartitions("band").mapInArrow(_bucket_pairs, "key long, other long")
-    return first.union(verified(rest.distinct()))
+    return first.union(rest)
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
