@@ -2,9 +2,9 @@
 
 Bigram counts are quantised to levels a factor of about sqrt(2) apart, and a bigram of level q is
 entered as the keys (bigram, 1) ... (bigram, q). A query probes level after level until one is
-absent; the last one present gives the count. The filter is broadcast. Its size has a bound that
-no input moves: a bigram is held from a fixed share of all tokens on (``RHO``), so at most 1 / RHO
-bigrams are, and their levels count up from that share.
+absent; the last one present gives the count. Every bigram of the training documents is entered,
+so the filter grows with them and is never in one place: its segments stay distributed, blocks of
+documents send their bigrams to the segments, and the counts go back to the blocks.
 
 Probabilities are interpolated with absolute discounting: what the held bigrams of a context leave
 over goes to the add-half unigram model. Unigram counts are exact and stay distributed: words meet
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from arcwright.llm.text import text_or_empty
 from arcwright.session import materialize
 
-#: Share of all training tokens from which on a bigram is held.
-RHO = 2.0**-24
 #: Bits of the filter per entered key, and probes per key.
 BITS_PER_KEY, PROBES = 12, 4
 #: Documents whose ids fall into one block of the scoring pass.
@@ -123,7 +121,7 @@ def fill_segment(keys: np.ndarray, counts: np.ndarray, thresholds: np.ndarray) -
     return words
 
 
-# Pass 1: bigrams of the training documents.
+# Pass 1: bigrams of all documents, counted over the training ones.
 
 
 def _numbered(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
@@ -143,21 +141,28 @@ def _hashes(ids: dict[bytes, int]) -> np.ndarray:
 def _pack_bigrams(segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, stream = _numbered(batch.column(0).to_pylist())
-            keys, counts = np.unique(_bigram_keys(_hashes(ids), stream[:-1], stream[1:]), return_counts=True)
-            part = _segment(keys, segments)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(segments + 1))
-            some = np.flatnonzero(np.diff(cuts))
-            keys, counts = keys[order], counts[order].astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(some.astype(np.int32)),
-                    pa.array([keys[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()),
-                    pa.array([_squeeze(counts[cuts[s] : cuts[s + 1]].tobytes()) for s in some], pa.binary()),
-                ],
-                ["segment", "keys", "counts"],
-            )
+            blocks: dict[int, tuple[list[bytes], list[bytes]]] = {}
+            for text, block, train in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                blocks.setdefault(block, ([], []))[0 if train else 1].append(text)
+            for block, (learned, other) in blocks.items():
+                ids, stream = _numbered(learned + other)
+                n = np.flatnonzero(stream == 0)[len(learned)]  # pairs of the learned texts
+                keys, at = np.unique(_bigram_keys(_hashes(ids), stream[:-1], stream[1:]), return_inverse=True)
+                counts = np.bincount(at[:n], minlength=len(keys)).astype(np.uint32)
+                part = _segment(keys, segments)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(segments + 1))
+                some = np.flatnonzero(np.diff(cuts))
+                keys, counts = keys[order], counts[order]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(some.astype(np.int32)),
+                        pa.array(np.full(len(some), block, np.int64)),
+                        pa.array([keys[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()),
+                        pa.array([_squeeze(counts[cuts[s] : cuts[s + 1]].tobytes()) for s in some], pa.binary()),
+                    ],
+                    ["segment", "block", "keys", "counts"],
+                )
 
     return run
 
@@ -184,41 +189,51 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int
         yield now, rows
 
 
-def _sum_bigrams(least: int, segments: int):
-    """Per segment: its filter bits, the counts of counts, and each context's share of what is held."""
+def _sum_bigrams(segments: int):
+    """Per segment: the counts of counts, each context's share of what is held, and each block's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, rows in _groups(batches, 3):
-            keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in rows])
-            counts = np.concatenate([np.frombuffer(_expand(c), np.uint32) for _, c in rows]).astype(np.int64)
-            keys, inverse = np.unique(keys, return_inverse=True)
+        for segment, rows in _groups(batches, 4):
+            asked = [np.frombuffer(k, np.uint64) for _, k, _ in rows]
+            counts = np.concatenate([np.frombuffer(_expand(c), np.uint32) for _, _, c in rows]).astype(np.int64)
+            keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
             counts = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64)
             once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-            held = counts >= least
-            keys, counts = keys[held], counts[held]
-            thresholds = levels(least, int(counts.max(initial=least)))
-            bits = fill_segment(keys, counts, thresholds)
-            quantised = thresholds[np.searchsorted(thresholds, counts, side="right") - 1] if len(keys) else counts
-            context, at = np.unique(keys >> np.uint64(32), return_inverse=True)
-            mass = np.bincount(at, weights=quantised, minlength=len(context)).astype(np.int64)
+            thresholds = levels(1, int(counts.max(initial=1)))
+            held = counts > 0
+            bits = fill_segment(keys[held], counts[held], thresholds)
+            seen = Filter([bits], thresholds).count(keys)
+            counts = thresholds[np.searchsorted(thresholds, counts[held], side="right") - 1]
+            context, at = np.unique(keys[held] >> np.uint64(32), return_inverse=True)
+            mass = np.bincount(at, weights=counts, minlength=len(context)).astype(np.int64)
             types = np.bincount(at, minlength=len(context)).astype(np.int64)
             to = _context_segment(context, segments)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(segments + 1))
             some = np.flatnonzero(np.diff(cuts)).tolist()
-            top = int(counts.max(initial=0))
-            out = [(segment, -1, bits.tobytes(), once, twice, top)]
+            out = [(STATS, -1, b"", b"", once, twice)]
             for s in some:
                 k = order[cuts[s] : cuts[s + 1]]
                 packed = np.stack([context[k].astype(np.int64), mass[k], types[k]]).tobytes()
-                out.append((segment, s, _squeeze(packed), 0, 0, 0))
+                out.append((s, -1, _squeeze(packed), b"", 0, 0))
+            parts: dict[int, list[np.ndarray]] = {}
+            ends = np.cumsum([len(a) for a in asked])
+            for (block, _, _), part in zip(rows, np.split(inverse, ends[:-1]), strict=True):
+                parts.setdefault(block, []).append(part)
+            for block, found in parts.items():
+                k = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+                k = k[seen[k] > 0]
+                if len(k):
+                    out.append((COUNTS, block, keys[k].tobytes(), _squeeze(seen[k].tobytes()), 0, 0))
             for k in range(0, len(out), 2000):
                 yield _rows(out[k : k + 2000], _BIGRAM_SCHEMA)
 
     return run
 
 
-_BIGRAM_SCHEMA = "segment int, target int, packed binary, once long, twice long, top long"
+#: In place of a word segment: a segment's counts of counts, and the counts that a block asked for.
+STATS, COUNTS = -1, -2
+_BIGRAM_SCHEMA = "target int, block long, packed binary, counts binary, once long, twice long"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
@@ -325,7 +340,7 @@ def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes = np.array([len(texts[k]) for k in rows], np.int64)
                 marks = np.array([[held[k], ids[k] is None, ids[k] or 0] for k in rows], np.int64)
                 body = _squeeze(b"".join(texts[k] for k in rows))
-                yield _rows([(block, 1, body, sizes.tobytes() + marks.tobytes())], _DOC_SCHEMA)
+                yield _rows([(block, 2, body, sizes.tobytes() + marks.tobytes())], _DOC_SCHEMA)
 
 
 _OUT_SCHEMA = (
@@ -335,41 +350,66 @@ _OUT_SCHEMA = (
 
 @dataclass
 class Model:
-    """What a scoring task needs besides its block's words."""
+    """What a scoring task needs besides its block's words and bigrams."""
 
     tokens: int
     kinds: int
     discount: float
-    filter: Filter
 
 
-def _score(shared):
+@dataclass
+class Block:
+    """A block's words with their numbers, and its bigrams that are held with their counts."""
+
+    c: np.ndarray
+    p1: np.ndarray
+    log1: np.ndarray
+    rest: np.ndarray
+    h: np.ndarray
+    keys: np.ndarray
+    seen: np.ndarray
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """The quantised count of each key, 0 if it is not held."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        distinct, at = np.unique(keys, return_inverse=True)
+        k = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        return np.where(self.keys[k] == distinct, self.seen[k], 0)[at]
+
+
+def _score(model: Model):
+    def block_of(words: dict, numbers: list[np.ndarray], keys: list[np.ndarray], seen: list[np.ndarray]) -> Block:
+        c, mass, kinds = np.concatenate(numbers, axis=1)
+        p1 = (c + 0.5) / (model.tokens + 0.5 * (model.kinds + 1))
+        used = np.maximum(mass - model.discount * kinds, 0.0)
+        rest = np.clip(1.0 - used / np.maximum(c, 1), 1e-3, 1.0)
+        keys, seen = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *seen])
+        order = np.argsort(keys)
+        return Block(c, p1, np.log10(p1), rest, _hashes(words), keys[order], seen[order])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        base_total = model.tokens + 0.5 * (model.kinds + 1)
-        now, words, table = None, {}, []
+        now, words, table, keys, seen, made = None, {}, [], [], [], None
         for batch in batches:
             for block, kind, packed, numbers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if block != now:
-                    now, words, table = block, {}, []
+                    now, words, table, keys, seen, made = block, {}, [], [], [], None
                 if kind == 0:
                     for w in _expand(packed).split(b" "):
                         words[w] = len(words)
                     table.append(np.frombuffer(_expand(numbers), np.int64).reshape(3, -1))
-                    continue
-                if isinstance(table, list):  # the block's words are complete: documents come after them
-                    c, mass, kinds = np.concatenate(table, axis=1)
-                    p1 = (c + 0.5) / base_total
-                    used = np.maximum(mass - model.discount * kinds, 0.0)
-                    rest = np.clip(1.0 - used / np.maximum(c, 1), 1e-3, 1.0)
-                    table = (c, p1, np.log10(p1), rest, _hashes(words))
-                yield _scored(_expand(packed), numbers, words, table, model)
+                elif kind == 1:
+                    keys.append(np.frombuffer(packed, np.uint64))
+                    seen.append(np.frombuffer(_expand(numbers), np.int64))
+                else:  # the block's words and bigrams are complete: documents come after them
+                    made = made or block_of(words, table, keys, seen)
+                    yield _scored(_expand(packed), numbers, words, made, model)
 
     return run
 
 
-def _scored(body: bytes, numbers: bytes, words: dict, table: tuple, model: Model) -> pa.RecordBatch:
-    c, p1, log1, rest, h = table
+def _scored(body: bytes, numbers: bytes, words: dict, block: Block, model: Model) -> pa.RecordBatch:
+    c, p1, log1, rest = block.c, block.p1, block.log1, block.rest
     n = len(numbers) // 32
     sizes = np.frombuffer(numbers[: 8 * n], np.int64)
     marks = np.frombuffer(numbers[8 * n :], np.int64).reshape(n, 3)
@@ -384,7 +424,7 @@ def _scored(body: bytes, numbers: bytes, words: dict, table: tuple, model: Model
     stream = np.array(stream, np.int64)
     left, right = stream[:-1], stream[1:]
     starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    seen = model.filter.count(_bigram_keys(h, left, right))
+    seen = block.count(_bigram_keys(block.h, left, right))
     context = c[left]
     # A held bigram's context was seen; a false positive's may not have been.
     direct = np.where(context > 0, np.maximum(seen - model.discount, 0.0) / np.maximum(context, 1), 0.0)
@@ -405,7 +445,7 @@ def _scored(body: bytes, numbers: bytes, words: dict, table: tuple, model: Model
 
 
 def lm_scores(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1, rho: float = RHO
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1
 ) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of each row of ``docs``.
 
@@ -415,7 +455,6 @@ def lm_scores(
     Without training documents every probability is that of an empty count. An empty table gives
     an empty result. Columns other than id and text are left out.
     """
-    spark = docs.sparkSession
     n_docs = docs.count()
     segments = max(MIN_SEGMENTS, n_docs // DOCS_PER_SEGMENT)
     ident = F.col(id_col).cast("long")
@@ -426,46 +465,30 @@ def lm_scores(
         held.alias("_h"),
         ident.alias("_i"),
     )
-    packed = rows.filter(~F.col("_h")).select("_t").mapInArrow(_pack_bigrams(segments), "segment int, keys binary, counts binary")
-    least = max(1, int(np.ceil(rho * _training_tokens(rows))))
+    learned = rows.select("_t", "_b", (~F.col("_h")).alias("train"))
+    packed = learned.mapInArrow(_pack_bigrams(segments), "segment int, block long, keys binary, counts binary")
     grams = materialize(
-        packed.repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_bigrams(least, segments), _BIGRAM_SCHEMA),
+        packed.repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_bigrams(segments), _BIGRAM_SCHEMA),
         "lm-bigrams",
     )
     contexts = grams.filter("target >= 0").select(
         F.col("target").alias("segment"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"),
         F.col("packed").alias("words"), F.lit(b"").alias("counts"),
     )
-    counted = rows.select("_t", "_b", (~F.col("_h")).alias("train")).mapInArrow(_pack_words(segments), _WORD_SCHEMA)
+    counted = learned.mapInArrow(_pack_words(segments), _WORD_SCHEMA)
     entries = materialize(
         counted.union(contexts).repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_words, _DICT_SCHEMA),
         "lm-words",
     )
     totals = entries.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
-    shared = spark.sparkContext.broadcast(_model(grams, totals["n"] or 0, totals["v"] or 0, segments, least))
+    stats = grams.filter(F.col("target") == STATS).agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
+    once, twice = stats["once"] or 0, stats["twice"] or 0
+    model = Model(totals["n"] or 0, totals["v"] or 0, once / (once + 2 * twice) if once + twice else 0.5)
     words = entries.select("block", F.lit(0).alias("kind"), "words", "numbers")
+    counts = grams.filter(F.col("target") == COUNTS).select("block", F.lit(1).alias("kind"), "packed", "counts")
     texts = rows.select("_t", "_b", "_h", "_i").mapInArrow(_pack_docs, _DOC_SCHEMA)
-    return (
-        words.union(texts).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_score(shared), _OUT_SCHEMA)
-    )
-
-
-def _training_tokens(rows: DataFrame) -> int:
-    """Words and ends of the training documents."""
-    words = F.regexp_count(F.col("_t").cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
-    return rows.filter(~F.col("_h")).agg(F.sum(words.cast("long") + 1)).first()[0] or 0
-
-
-def _model(grams: DataFrame, tokens: int, kinds: int, segments: int, least: int) -> Model:
-    """Collects the filter's segments: at most ``1 / RHO`` bigrams' bits, whatever the corpus."""
-    bits = [np.zeros(0, np.uint64)] * segments
-    once = twice = 0
-    top = least
-    for r in grams.filter("target < 0").select("segment", "packed", "once", "twice", "top").toLocalIterator():
-        bits[r["segment"]] = np.frombuffer(bytes(r["packed"]), np.uint64)
-        once, twice, top = once + r["once"], twice + r["twice"], max(top, r["top"])
-    discount = once / (once + 2 * twice) if once + twice else 0.5
-    return Model(tokens, kinds, discount, Filter(bits, levels(least, top)))
+    dealt = words.union(counts).union(texts).repartition("block").sortWithinPartitions("block", "kind")
+    return dealt.mapInArrow(_score(model), _OUT_SCHEMA)
 
 
 def lm_query(spark, sf_dir):

@@ -197,6 +197,18 @@ def test_bpe_tables_start_anew(tokenizer, monkeypatch, odd_rows):
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_lm_holds_rare_bigrams_of_a_large_corpus(spark):
+    """Seen once among more than 2**24 training tokens, a bigram still scores above its words alone."""
+    held = [k for k in range(0, 4096 * 60, 4096) if zlib.crc32(str(k).encode()) % 5 == 1][0]
+    ids = [k for k in range(0, 4096 * 60, 4096) if zlib.crc32(str(k).encode()) % 5 != 1][:20]
+    big = spark.createDataFrame([(k,) for k in ids[2:]], "doc_id long").repartition(8).selectExpr("doc_id", "repeat('a ', 1000000) AS text")
+    texts = [(ids[0], "p q r s t"), (ids[1], "f g h i j k f g h i j k"), (held, "p q r s t")]
+    rare = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lm.lm_scores(big.union(rare)).collect()}
+    assert rows[held]["held_out"] and rows[held]["train_tokens"] > 1 << 24
+    assert rows[held]["score"] > rows[held]["base_score"] + 5
+
+
 def test_lm_base(odd, odd_rows, none):
     tokens = [[w.encode() for w in words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [b""] for _, t, _ in odd_rows]
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1 for i, _, _ in odd_rows]
