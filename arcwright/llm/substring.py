@@ -261,7 +261,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from emit(held)
 
 
-def _similar_lines(units: DataFrame, rows: DataFrame) -> DataFrame:
+def _similar_lines(units: DataFrame, rows: DataFrame, sets_of=_line_sets, columns: tuple = ("_t",)) -> DataFrame:
     """``(key, other)``: pairs of different paragraphs of Jaccard THRESHOLD or more, enough to span each class.
 
     Sketches are part of the condition on which paragraphs meet, so that many that were each
@@ -293,8 +293,8 @@ def _similar_lines(units: DataFrame, rows: DataFrame) -> DataFrame:
     owners = colliding.select("doc").distinct()
     sets = (
         rows.join(owners, F.col("_i") == F.col("doc"), "left_semi")
-        .select("_t")
-        .mapInArrow(_line_sets, "key long, shingles array<long>")
+        .select(*columns)
+        .mapInArrow(sets_of, "key long, shingles array<long>")
         .join(colliding.select("key"), "key", "left_semi")
         .dropDuplicates(["key"])
     )

@@ -239,6 +239,43 @@ def test_changed_payload_is_noticed(spark, tmp_path):
         warc.read_archive(spark, path).collect()
 
 
+def test_near_stage_against_brute_force(spark):
+    """Edited copies at similarities around 0.8: nearly all true groups are found, and nothing else goes."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(80):
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(rng.choice([20, 60, 150, 400]))]
+        rows.append((k, "\n".join(" ".join(base[i : i + 9]) for i in range(0, len(base), 9))))
+        for copy in range(2):
+            other = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 40))):
+                other[rng.randrange(len(other))] = f"x{rng.randint(0, 9999)}"
+            rows.append((1000 + 2 * k + copy, " ".join(other)))
+    rows += [(5000, "two words"), (5001, "Two  WORDS"), (5002, "two"), (5003, ""), (5004, None)]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {i: shingles(t) for i, t in rows}
+    owner = {i: i for i in sets}
+
+    def top(i):
+        return i if owner[i] == i else top(owner[i])
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                owner[y] = x
+    gone = {i for i in sets if top(i) != i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    found = set(sets) - kept
+    assert len(gone) > 60 and {5001, 5004} <= found
+    assert found <= gone and len(found) >= 0.98 * len(gone)
+
+
 def test_pipeline_stages(spark, odd_rows):
     rng = random.Random(2)
     good = lambda: " ".join(f"the w{rng.randint(0, 9999)} of" for _ in range(60))
