@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Scratch folder of each application whose session names none, by application id.
 _OWN: dict[str, str] = {}
-#: Folders written so far, dropped when the interpreter ends.
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Folders written so far and not yet discarded, by path; what is left goes when the interpreter ends.
+_WRITTEN: dict[str, SparkSession] = {}
+#: Spark's switch that drops an execution's shuffle files when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(cores: int = 8, name: str = "arcwright", **conf: str) -> SparkSession:
@@ -49,9 +52,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder, dropped when the interpreter ends."""
+    """A new path under the shared folder, dropped when the interpreter ends at the latest."""
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    _WRITTEN[path] = spark
     return path
 
 
@@ -59,11 +62,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result has no lineage into what made it: a lost executor costs a re-read of Parquet
-    files, not a rerun, and an iterative plan does not grow from round to round.
+    files, not a rerun, and an iterative plan does not grow from round to round. The shuffle files
+    of the write go with it: nothing reads them again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -74,6 +86,7 @@ def discard(df: DataFrame | None) -> None:
     path = getattr(df, "_scratch", None)
     if path:
         _remove(df.sparkSession, path)
+        _WRITTEN.pop(path, None)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -84,9 +97,10 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in list(_WRITTEN.items()):
+        if spark.sparkContext._jsc is None:  # the session is already gone; the cluster's own clean-up takes over
+            continue
         try:
-            if spark.sparkContext._jsc is not None:
-                _remove(spark, path)
-        except Exception:  # the session is already gone; the cluster's own clean-up takes over
-            return
+            _remove(spark, path)
+        except Exception as error:  # one folder that will not go must not keep the others
+            print(f"{path} stays: {error}", file=sys.stderr)
