@@ -3,15 +3,19 @@
 Bigram counts are quantised to levels a factor of about sqrt(2) apart, and a bigram of level q is
 entered as the keys (bigram, 1) ... (bigram, q). A query probes level after level until one is
 absent; the last one present gives the count. Every bigram of the training documents is entered,
-so the filter grows with them and is never in one place: its segments stay distributed, blocks of
-documents send their bigrams to the segments, and the counts go back to the blocks.
+so the filter grows with them and no bound on its size can be proven: it is not broadcast. Its
+segments stay distributed, chunks of documents send their bigrams to the segments, and the levels
+that the probes found go back to the chunks.
 
 Probabilities are interpolated with absolute discounting: what the held bigrams of a context leave
 over goes to the add-half unigram model. Unigram counts are exact and stay distributed: words meet
-by hash segment, are summed there, and go back to the blocks of documents that asked for them.
+by hash segment, are summed there, and go back to the chunks of documents that asked for them.
 
-Everything that is exchanged is a packed block - sorted keys, joined words, compressed texts - so a
-frequent word or bigram is one entry per block, never one per occurrence.
+Documents are tokenised once, into chunks of a bounded number of bytes that are written down: the
+distinct words and a stream of word numbers. Everything exchanged after that is one packed row per
+chunk and segment, so a frequent word or bigram is one entry per chunk, never one per occurrence.
+Questions are sorted by segment and answers come back in the order of the questions, so an answer
+carries no keys.
 """
 
 from __future__ import annotations
@@ -23,18 +27,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwright.llm.text import text_or_empty
 from arcwright.session import materialize
 
-#: Bits of the filter per entered key, and probes per key.
-BITS_PER_KEY, PROBES = 12, 4
-#: Documents whose ids fall into one block of the scoring pass.
-BLOCK_DOCS = 4096
-#: Hash segments: at least so many, and one per so many documents.
-MIN_SEGMENTS, DOCS_PER_SEGMENT = 256, 1000
+#: Bits of the filter per entered key, and probes per key: one absent key in a thousand is found.
+BITS_PER_KEY, PROBES = 16, 6
+#: Bytes of text that a chunk holds, unless one document has more.
+CHUNK_BYTES = 16 << 20
+#: Bytes of text per hash segment, and the least number of segments.
+SEGMENT_BYTES, MIN_SEGMENTS = 8 << 20, 64
 #: The end of a text; no word is empty.
 END = b""
 
@@ -58,121 +63,165 @@ def _bigram_keys(h: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
     return (h[left] & ~np.uint64(0xFFFFFFFF)) | low
 
 
-def levels(least: int, most: int) -> np.ndarray:
-    """Smallest counts of the levels from ``least`` on: 1, 1.5, 2, 3, 4, 6, ... times it."""
-    out, step = [], 0
-    while not out or out[-1] < most:
-        value = -(-least * (2 if step % 2 == 0 else 3) * (1 << step // 2) // 2)
-        if not out or value > out[-1]:
-            out.append(value)
-        step += 1
-    return np.array(out, np.int64)
+def _levels() -> np.ndarray:
+    """Smallest counts of the levels: 1, 2, 3, 4, 6, 8, 12, ..."""
+    return np.array([1, 2, *(x << k for k in range(60) for x in (3, 4))], np.int64)
+
+
+LEVELS = _levels()
 
 
 class Filter:
-    """A Bloom filter in segments, each sized by what it holds; probes vectorise over keys."""
-
-    def __init__(self, bits: list[np.ndarray], counts: np.ndarray):
-        sizes = np.array([len(b) for b in bits], np.int64)
-        self.start = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.uint64)
-        self.size = (sizes * 64).astype(np.uint64)
-        self.words = np.concatenate(bits) if bits else np.zeros(0, np.uint64)
-        self.counts = counts
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised count of each key, 0 if it is not held."""
-        out = np.zeros(len(keys), np.int64)
-        if not len(self.words):
-            return out
-        segment = _segment(keys, len(self.size))
-        alive = np.flatnonzero(self.size[segment] > 0)
-        for level, value in enumerate(self.counts.tolist(), 1):
+    """One segment of the Bloom filter, sized by what it holds; probes vectorise over keys."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        level = np.searchsorted(LEVELS, counts, side="right")
+        self.words = np.zeros(-(-int(level.sum()) * BITS_PER_KEY // 64), np.uint64)
+        self.top = int(level.max(initial=0))
+        for q in range(1, self.top + 1):
+            part = keys[level >= q]
+            for probe in range(PROBES):
+                bit = self._bit(part, q, probe)
+                np.bitwise_or.at(self.words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+
+    def _bit(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
+        salt = np.uint64((level * 0x9E3779B97F4A7C15 + probe * 0xD1B54A32D192ED03) & (2**64 - 1))
+        return _mix(keys + salt) % np.uint64(len(self.words) * 64)
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """The level that the probes find for each key, 0 if it is not held."""
+        out = np.zeros(len(keys), np.uint8)
+        alive = np.arange(len(keys) if len(self.words) else 0)
+        for level in range(1, self.top + 1):
             for probe in range(PROBES):
-                s = segment[alive]
-                bit = _bit(keys[alive], level, probe) % self.size[s]
-                word = self.words[self.start[s] + (bit >> np.uint64(6))]
+                bit = self._bit(keys[alive], level, probe)
+                word = self.words[(bit >> np.uint64(6)).astype(np.int64)]
                 alive = alive[(word >> (bit & np.uint64(63))) & np.uint64(1) == 1]
             if not len(alive):
                 break
-            out[alive] = value
+            out[alive] = level
         return out
 
 
-def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
-    return (_mix(keys ^ _GOLD) % np.uint64(segments)).astype(np.int64)
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return _ZIP.compress(raw)
+
+
+def _expand(raw: bytes) -> bytes:
+    return _UNZIP.decompress(raw)
 
 
-def _bit(keys: np.ndarray, level: int, probe: int) -> np.ndarray:
-    return _mix(keys + np.uint64((level * 0x9E3779B97F4A7C15 + probe * 0xD1B54A32D192ED03) & (2**64 - 1)))
+def _pack(numbers: np.ndarray) -> bytes:
+    """The numbers by byte planes: of sorted or small ones, most planes nearly vanish."""
+    return _squeeze(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes())
+
+
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(_expand(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [part.split() for part in schema.split(",")]
+    columns = [pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
 
 
-def fill_segment(keys: np.ndarray, counts: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    """The bits of one segment, as 64-bit words."""
-    level = np.searchsorted(thresholds, counts, side="right")
-    total = int(level.sum())
-    if not total:
-        return np.zeros(0, np.uint64)
-    words = np.zeros(-(-total * BITS_PER_KEY // 64), np.uint64)
-    for q in range(1, int(level.max()) + 1):
-        part = keys[level >= q]
-        for probe in range(PROBES):
-            bit = _bit(part, q, probe) % np.uint64(len(words) * 64)
-            np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return words
+def _in_batches(rows: Iterator[tuple], schema: str, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    part: list[tuple] = []
+    for row in rows:
+        part.append(row)
+        if len(part) == size:
+            yield _rows(part, schema)
+            part = []
+    if part:
+        yield _rows(part, schema)
 
 
-# Pass 1: bigrams of all documents, counted over the training ones.
+# Chunks: documents as distinct words and a stream of their numbers.
 
+_CHUNK_SCHEMA = "chunk long, bytes long, learned long, words binary, stream binary, marks binary"
 
-def _numbered(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
-    """Words by number, and the numbers of END text END text ... END."""
+
+def _chunk_row(number: int, texts: list[bytes], marks: list[tuple]) -> tuple:
+    """Training documents first, so that their pairs are the first ones. Marks: held out, id lacks, id, tokens."""
     ids: dict[bytes, int] = {END: 0}
-    stream = [0]
-    for text in texts:
-        stream += [ids.setdefault(w, len(ids)) for w in text.lower().split()]
+    stream, rows, learned = [0], [], 0
+    for k in sorted(range(len(texts)), key=lambda k: marks[k][0]):
+        before = len(stream)
+        stream += [ids.setdefault(w, len(ids)) for w in texts[k].lower().split()]
         stream.append(0)
-    return ids, np.array(stream, np.int64)
+        held, ident = marks[k]
+        rows.append((held, ident is None, ident or 0, len(stream) - before))
+        learned += 0 if held else len(stream) - before
+    size = sum(map(len, texts))
+    return (
+        number, size, learned, _squeeze(b" ".join(ids)), _pack(np.array(stream, np.uint32)), _pack(np.array(rows, np.int64).ravel())
+    )
 
 
-def _hashes(ids: dict[bytes, int]) -> np.ndarray:
-    return np.array([_word_hash(w) for w in ids], np.uint64)
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # The table is written once, so a number need only be unlike the others of this one write.
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        texts, marks, size = [], [], 0
+        for text, held, ident in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if texts and size + len(text) > CHUNK_BYTES:
+                yield _rows([_chunk_row(number, texts, marks)], _CHUNK_SCHEMA)
+                number, texts, marks, size = number + 1, [], [], 0
+            texts.append(text)
+            marks.append((held, ident))
+            size += len(text)
+        if texts:
+            yield _rows([_chunk_row(number, texts, marks)], _CHUNK_SCHEMA)
+            number += 1
 
 
-def _pack_bigrams(segments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks: dict[int, tuple[list[bytes], list[bytes]]] = {}
-            for text, block, train in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                blocks.setdefault(block, ([], []))[0 if train else 1].append(text)
-            for block, (learned, other) in blocks.items():
-                ids, stream = _numbered(learned + other)
-                n = np.flatnonzero(stream == 0)[len(learned)]  # pairs of the learned texts
-                keys, at = np.unique(_bigram_keys(_hashes(ids), stream[:-1], stream[1:]), return_inverse=True)
-                counts = np.bincount(at[:n], minlength=len(keys)).astype(np.uint32)
-                part = _segment(keys, segments)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(segments + 1))
-                some = np.flatnonzero(np.diff(cuts))
-                keys, counts = keys[order], counts[order]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(some.astype(np.int32)),
-                        pa.array(np.full(len(some), block, np.int64)),
-                        pa.array([keys[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()),
-                        pa.array([_squeeze(counts[cuts[s] : cuts[s + 1]].tobytes()) for s in some], pa.binary()),
-                    ],
-                    ["segment", "block", "keys", "counts"],
-                )
+@dataclass
+class Chunk:
+    """A chunk as read back. ``words[0]`` is END; pair k is of ``stream[k]`` and ``stream[k + 1]``."""
 
-    return run
+    words: list[bytes]
+    stream: np.ndarray
+    h: np.ndarray
 
+    @classmethod
+    def of(cls, words: bytes, stream: bytes) -> Chunk:
+        words = _expand(words).split(b" ")  # END comes first and is empty
+        return cls(words, _unpack(stream, np.uint32).astype(np.int64), np.array([_word_hash(w) for w in words], np.uint64))
 
-def _squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    def pairs(self, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct bigram keys by segment, then value; each pair's key number; segments; their first keys."""
+        keys, at = np.unique(_bigram_keys(self.h, self.stream[:-1], self.stream[1:]), return_inverse=True)
+        order, some, cuts = _by_segment(_segment(keys, segments))
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        return keys[order], place[at], some, cuts
 
+    def by_word_segment(self, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers in the order of their segments; segments; their first places."""
+        return _by_segment(_context_segment(self.h >> np.uint64(32), segments))
 
-def _expand(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
+
+def _by_segment(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by segment, the segments that occur, and the bounds of each in that order."""
+    order = np.argsort(part, kind="stable")
+    some, first = np.unique(part[order], return_index=True)
+    return order, some, np.concatenate((first, [len(part)]))
+
+
+def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    return (_mix(keys ^ _GOLD) % np.uint64(segments)).astype(np.int64)
+
+
+def _context_segment(context: np.ndarray, segments: int) -> np.ndarray:
+    return (_mix(context) % np.uint64(segments)).astype(np.int64)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[list]]]:
@@ -189,160 +238,116 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int
         yield now, rows
 
 
-def _sum_bigrams(segments: int):
-    """Per segment: the counts of counts, each context's share of what is held, and each block's counts."""
+# Pass 1: bigrams of all chunks, counted over the training documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ASKED_SCHEMA = "segment int, chunk long, keys binary, counts binary"
+
+
+def _ask_bigrams(segments: int):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for number, learned, words, stream in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                keys, at, some, cuts = Chunk.of(words, stream).pairs(segments)
+                counts = np.bincount(at[:learned], minlength=len(keys)).astype(np.uint32)
+                for s, a, b in zip(some.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    yield s, number, _pack(keys[a:b]), _pack(counts[a:b])
+
+    return lambda batches: _in_batches(asked(batches), _ASKED_SCHEMA)
+
+
+#: Kinds of answers: a segment's counts of counts, contexts' masses, the levels that a chunk asked for.
+STATS, CONTEXTS, FOUND = 0, 1, 2
+_ANSWER_SCHEMA = "kind int, to long, segment int, packed binary, once long, twice long"
+
+
+def _answer_bigrams(segments: int):
+    """Per segment: fill its part of the filter, then answer each chunk's questions by probing it."""
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for segment, rows in _groups(batches, 4):
-            asked = [np.frombuffer(k, np.uint64) for _, k, _ in rows]
-            counts = np.concatenate([np.frombuffer(_expand(c), np.uint32) for _, _, c in rows]).astype(np.int64)
+            asked = [_unpack(k, np.uint64) for _, k, _ in rows]
+            counts = np.concatenate([_unpack(c, np.uint32) for _, _, c in rows])
             keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
             counts = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64)
-            once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-            thresholds = levels(1, int(counts.max(initial=1)))
             held = counts > 0
-            bits = fill_segment(keys[held], counts[held], thresholds)
-            seen = Filter([bits], thresholds).count(keys)
-            counts = thresholds[np.searchsorted(thresholds, counts[held], side="right") - 1]
+            found = Filter(keys[held], counts[held]).level(keys)
+            yield STATS, -1, segment, b"", int((counts == 1).sum()), int((counts == 2).sum())
+            entered = LEVELS[np.searchsorted(LEVELS, counts[held], side="right") - 1]
             context, at = np.unique(keys[held] >> np.uint64(32), return_inverse=True)
-            mass = np.bincount(at, weights=counts, minlength=len(context)).astype(np.int64)
+            mass = np.bincount(at, weights=entered, minlength=len(context)).astype(np.int64)
             types = np.bincount(at, minlength=len(context)).astype(np.int64)
-            to = _context_segment(context, segments)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(segments + 1))
-            some = np.flatnonzero(np.diff(cuts)).tolist()
-            out = [(STATS, -1, b"", b"", once, twice)]
-            for s in some:
-                k = order[cuts[s] : cuts[s + 1]]
-                packed = np.stack([context[k].astype(np.int64), mass[k], types[k]]).tobytes()
-                out.append((s, -1, _squeeze(packed), b"", 0, 0))
-            parts: dict[int, list[np.ndarray]] = {}
+            order, some, cuts = _by_segment(_context_segment(context, segments))
+            for s, a, b in zip(some.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                k = order[a:b]
+                yield CONTEXTS, s, segment, _pack(np.concatenate([context[k].astype(np.int64), mass[k], types[k]])), 0, 0
             ends = np.cumsum([len(a) for a in asked])
-            for (block, _, _), part in zip(rows, np.split(inverse, ends[:-1]), strict=True):
-                parts.setdefault(block, []).append(part)
-            for block, found in parts.items():
-                k = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
-                k = k[seen[k] > 0]
-                if len(k):
-                    out.append((COUNTS, block, keys[k].tobytes(), _squeeze(seen[k].tobytes()), 0, 0))
-            for k in range(0, len(out), 2000):
-                yield _rows(out[k : k + 2000], _BIGRAM_SCHEMA)
-
-    return run
-
-
-#: In place of a word segment: a segment's counts of counts, and the counts that a block asked for.
-STATS, COUNTS = -1, -2
-_BIGRAM_SCHEMA = "target int, block long, packed binary, counts binary, once long, twice long"
-_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
-
-
-def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    fields = [part.split() for part in schema.split(",")]
-    columns = [pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
+            for (chunk, _, _), part in zip(rows, np.split(inverse, ends[:-1]), strict=True):
+                yield FOUND, chunk, segment, _squeeze(found[part].tobytes()), 0, 0
 
+    return lambda batches: _in_batches(answers(batches), _ANSWER_SCHEMA)
 
-def _context_segment(context: np.ndarray, segments: int) -> np.ndarray:
-    return (_mix(context) % np.uint64(segments)).astype(np.int64)
 
+# Pass 2: words of all chunks, counted over the training documents.
 
-# Pass 2: words of all documents, counted over the training ones.
+_WORD_SCHEMA = "segment int, kind int, chunk long, words binary, counts binary"
+_NUMBER_SCHEMA = "chunk long, segment int, numbers binary, tokens long, kinds long"
+#: Kinds of rows that reach a word segment: masses of contexts, words of a chunk.
+_MASSES, _WORDS = 0, 1
 
 
-def _pack_words(segments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask_words(segments: int):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            blocks: dict[int, dict[bytes, int]] = {}
-            for text, block, train in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                counts = blocks.setdefault(block, {})
-                words = text.lower().split()
-                words.append(END)
-                if train:
-                    for w in words:
-                        counts[w] = counts.get(w, 0) + 1
-                else:
-                    for w in words:
-                        if w not in counts:
-                            counts[w] = 0
-            for block, counts in blocks.items():
-                words = sorted(counts)
-                h = np.array([_word_hash(w) for w in words], np.uint64)
-                part = _context_segment(h >> np.uint64(32), segments)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(segments + 1)).tolist()
-                out = []
-                for s in range(segments):
-                    mine = [words[k] for k in order[cuts[s] : cuts[s + 1]].tolist()]
-                    if mine:
-                        n = np.array([counts[w] for w in mine], np.int64)
-                        out.append((s, 1, block, _squeeze(b" ".join(mine)), _squeeze(n.tobytes())))
-                yield _rows(out, _WORD_SCHEMA)
+            for number, learned, words, stream in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                chunk = Chunk.of(words, stream)
+                counts = np.bincount(chunk.stream[1 : learned + 1], minlength=len(chunk.words))
+                order, some, cuts = chunk.by_word_segment(segments)
+                for s, a, b in zip(some.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    mine = [chunk.words[k] for k in order[a:b].tolist()]
+                    yield s, _WORDS, number, _squeeze(b" ".join(mine)), _pack(counts[order[a:b]])
 
-    return run
+    return lambda batches: _in_batches(asked(batches), _WORD_SCHEMA)
 
 
-_WORD_SCHEMA = "segment int, kind int, block long, words binary, counts binary"
-_DICT_SCHEMA = "segment int, block long, words binary, numbers binary, tokens long, kinds long"
+def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per segment and chunk: counts, masses and types over the corpus of the words that the chunk sent, in its order."""
+    return _in_batches(_numbers(batches), _NUMBER_SCHEMA)
 
 
-def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per segment and block: the block's words with their counts, masses and types over the corpus."""
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for segment, rows in _groups(batches, 5):
-        contexts = [np.frombuffer(_expand(packed), np.int64).reshape(3, -1) for kind, _, packed, _ in rows if kind == 0]
-        if contexts:
-            flat = np.concatenate(contexts, axis=1)
-            known, at = np.unique(flat[0], return_inverse=True)
-            mass = np.bincount(at, weights=flat[1], minlength=len(known))
-            types = np.bincount(at, weights=flat[2], minlength=len(known))
-        else:
-            known = mass = types = np.zeros(0, np.int64)
-        total: dict[bytes, int] = {}
-        asked: dict[int, set[bytes]] = {}
-        for kind, block, packed, counts in rows:
-            if kind == 1:
-                words = _expand(packed).split(b" ")
-                asked.setdefault(block, set()).update(words)
-                for w, n in zip(words, np.frombuffer(_expand(counts), np.int64).tolist(), strict=True):
-                    total[w] = total.get(w, 0) + n
-        first = True
-        for block, words in asked.items():
-            words = sorted(words)
-            c = np.array([total[w] for w in words], np.int64)
-            h = (np.array([_word_hash(w) for w in words], np.uint64) >> np.uint64(32)).astype(np.int64)
-            k = np.searchsorted(known, h)
-            hit = np.flatnonzero(k < len(known))
-            hit = hit[known[k[hit]] == h[hit]]
-            m, t = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-            m[hit], t[hit] = mass[k[hit]], types[k[hit]]
-            numbers = _squeeze(np.stack([c, m, t]).tobytes())
-            tokens = sum(total.values()) if first else 0
-            kinds = sum(1 for n in total.values() if n) if first else 0
-            first = False
-            yield _rows([(segment, block, _squeeze(b" ".join(words)), numbers, tokens, kinds)], _DICT_SCHEMA)
-
-
-# Pass 3: scores, block by block.
-
-_DOC_SCHEMA = "block long, kind int, words binary, numbers binary"
-
-
-def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compressed texts by block: text, then what identifies each row."""
-    for batch in batches:
-        blocks: dict[int, list[int]] = {}
-        for k, block in enumerate(batch.column(1).to_pylist()):
-            blocks.setdefault(block, []).append(k)
-        texts, held, ids = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for block, all_rows in blocks.items():
-            for at in range(0, len(all_rows), 256):
-                rows = all_rows[at : at + 256]
-                sizes = np.array([len(texts[k]) for k in rows], np.int64)
-                marks = np.array([[held[k], ids[k] is None, ids[k] or 0] for k in rows], np.int64)
-                body = _squeeze(b"".join(texts[k] for k in rows))
-                yield _rows([(block, 2, body, sizes.tobytes() + marks.tobytes())], _DOC_SCHEMA)
-
-
+        contexts = [_unpack(packed, np.int64).reshape(3, -1) for kind, _, packed, _ in rows if kind == _MASSES]
+        flat = np.concatenate([np.zeros((3, 0), np.int64), *contexts], axis=1)
+        known, at = np.unique(flat[0], return_inverse=True)
+        mass = np.bincount(at, weights=flat[1], minlength=len(known)).astype(np.int64)
+        types = np.bincount(at, weights=flat[2], minlength=len(known)).astype(np.int64)
+        ids: dict[bytes, int] = {}
+        asked = []
+        for kind, chunk, packed, counts in rows:
+            if kind == _WORDS:
+                numbers = np.array([ids.setdefault(w, len(ids)) for w in _expand(packed).split(b" ")], np.int64)
+                asked.append((chunk, numbers, _unpack(counts, np.int64)))
+        if not asked:
+            continue
+        total = np.bincount(
+            np.concatenate([n for _, n, _ in asked]), weights=np.concatenate([c for _, _, c in asked]), minlength=len(ids)
+        ).astype(np.int64)
+        h = (np.array([_word_hash(w) for w in ids], np.uint64) >> np.uint64(32)).astype(np.int64)
+        k = np.searchsorted(known, h)
+        hit = np.flatnonzero(k < len(known))
+        hit = hit[known[k[hit]] == h[hit]]
+        table = np.zeros((3, len(ids)), np.int64)
+        table[0] = total
+        table[1, hit], table[2, hit] = mass[k[hit]], types[k[hit]]
+        tokens, kinds = int(total.sum()), int((total > 0).sum())
+        for chunk, numbers, _ in asked:
+            yield chunk, segment, _pack(table[:, numbers].ravel()), tokens, kinds
+            tokens = kinds = 0  # once per segment
+
+
+# Pass 3: scores, chunk by chunk.
+
+_DEALT_SCHEMA = "chunk long, kind int, segment int, a binary, b binary, c binary"
 _OUT_SCHEMA = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -350,91 +355,52 @@ _OUT_SCHEMA = (
 
 @dataclass
 class Model:
-    """What a scoring task needs besides its block's words and bigrams."""
+    """What a scoring task needs besides its chunk's words and bigrams."""
 
     tokens: int
     kinds: int
     discount: float
-
-
-@dataclass
-class Block:
-    """A block's words with their numbers, and its bigrams that are held with their counts."""
-
-    c: np.ndarray
-    p1: np.ndarray
-    log1: np.ndarray
-    rest: np.ndarray
-    h: np.ndarray
-    keys: np.ndarray
-    seen: np.ndarray
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised count of each key, 0 if it is not held."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        distinct, at = np.unique(keys, return_inverse=True)
-        k = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        return np.where(self.keys[k] == distinct, self.seen[k], 0)[at]
+    segments: int
 
 
 def _score(model: Model):
-    def block_of(words: dict, numbers: list[np.ndarray], keys: list[np.ndarray], seen: list[np.ndarray]) -> Block:
-        c, mass, kinds = np.concatenate(numbers, axis=1)
-        p1 = (c + 0.5) / (model.tokens + 0.5 * (model.kinds + 1))
-        used = np.maximum(mass - model.discount * kinds, 0.0)
-        rest = np.clip(1.0 - used / np.maximum(c, 1), 1e-3, 1.0)
-        keys, seen = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *seen])
-        order = np.argsort(keys)
-        return Block(c, p1, np.log10(p1), rest, _hashes(words), keys[order], seen[order])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, table, keys, seen, made = None, {}, [], [], [], None
-        for batch in batches:
-            for block, kind, packed, numbers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if block != now:
-                    now, words, table, keys, seen, made = block, {}, [], [], [], None
-                if kind == 0:
-                    for w in _expand(packed).split(b" "):
-                        words[w] = len(words)
-                    table.append(np.frombuffer(_expand(numbers), np.int64).reshape(3, -1))
-                elif kind == 1:
-                    keys.append(np.frombuffer(packed, np.uint64))
-                    seen.append(np.frombuffer(_expand(numbers), np.int64))
-                else:  # the block's words and bigrams are complete: documents come after them
-                    made = made or block_of(words, table, keys, seen)
-                    yield _scored(_expand(packed), numbers, words, made, model)
+        for _, rows in _groups(batches, 6):
+            numbers = [_unpack(a, np.int64).reshape(3, -1) for kind, _, a, _, _ in rows if kind == 0]
+            levels = [np.frombuffer(_expand(a), np.uint8) for kind, _, a, _, _ in rows if kind == 1]
+            (body,) = [row for row in rows if row[0] == 2]
+            yield _scored(Chunk.of(body[2], body[3]), _unpack(body[4], np.int64).reshape(-1, 4), numbers, levels, model)
 
     return run
 
 
-def _scored(body: bytes, numbers: bytes, words: dict, block: Block, model: Model) -> pa.RecordBatch:
-    c, p1, log1, rest = block.c, block.p1, block.log1, block.rest
-    n = len(numbers) // 32
-    sizes = np.frombuffer(numbers[: 8 * n], np.int64)
-    marks = np.frombuffer(numbers[8 * n :], np.int64).reshape(n, 3)
-    end = words[END]
-    stream, lengths, at = [end], [], 0
-    for size in sizes.tolist():
-        ids = [words[w] for w in body[at : at + size].lower().split()]
-        at += size
-        stream += ids
-        stream.append(end)
-        lengths.append(len(ids) + 1)
-    stream = np.array(stream, np.int64)
-    left, right = stream[:-1], stream[1:]
-    starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    seen = block.count(_bigram_keys(block.h, left, right))
-    context = c[left]
+def _scored(chunk: Chunk, marks: np.ndarray, numbers: list[np.ndarray], levels: list[np.ndarray], model: Model) -> pa.RecordBatch:
+    """Scores of the chunk's documents from the answers, which come in the order of its questions."""
+    order, _, _ = chunk.by_word_segment(model.segments)
+    table = np.zeros((3, len(order)), np.int64)
+    table[:, order] = np.concatenate(numbers, axis=1)
+    c, mass, types = table
+    p1 = (c + 0.5) / (model.tokens + 0.5 * (model.kinds + 1))
+    log1 = np.log10(p1)
+    used = np.maximum(mass - model.discount * types, 0.0)
+    rest = np.where(c > 0, np.clip(1.0 - used / np.maximum(c, 1), 1e-3, 1.0), 1.0)
+    keys, at, _, _ = chunk.pairs(model.segments)
+    found = np.concatenate(levels)
+    if len(found) != len(keys):
+        raise ValueError("a segment did not answer")
+    seen = np.concatenate(([0], LEVELS))[found][at]
+    left, right = chunk.stream[:-1], chunk.stream[1:]
     # A held bigram's context was seen; a false positive's may not have been.
-    direct = np.where(context > 0, np.maximum(seen - model.discount, 0.0) / np.maximum(context, 1), 0.0)
-    share = np.where(context > 0, rest[left], 1.0)
-    log_p = np.log10(np.minimum(direct + share * p1[right], 1.0))
+    direct = np.where(c[left] > 0, np.maximum(seen - model.discount, 0.0) / np.maximum(c[left], 1), 0.0)
+    log_p = np.log10(np.minimum(direct + rest[left] * p1[right], 1.0))
+    held, lacks, ident, lengths = marks.T
+    starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+    n = len(lengths)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([None if gone else i for _, gone, i in marks.tolist()], pa.int64()),
-            pa.array(marks[:, 0].astype(bool)),
-            pa.array(np.array(lengths, np.int64)),
+            pa.array(ident, pa.int64(), mask=lacks.astype(bool)),
+            pa.array(held.astype(bool)),
+            pa.array(lengths, pa.int64()),
             pa.array(np.add.reduceat((c[right] > 0).astype(np.int64), starts)),
             pa.array(np.full(n, model.tokens, np.int64)),
             pa.array(np.add.reduceat(log1[right], starts)),
@@ -453,41 +419,40 @@ def lm_scores(
     ``held_fold``. A null id counts as an empty string there. A null or empty text is its end
     alone. Texts of any length are learned from and scored whole, and repeated rows each count.
     Without training documents every probability is that of an empty count. An empty table gives
-    an empty result. Columns other than id and text are left out.
+    an empty result. Columns other than id and text are left out, so their names cannot clash.
     """
-    n_docs = docs.count()
-    segments = max(MIN_SEGMENTS, n_docs // DOCS_PER_SEGMENT)
     ident = F.col(id_col).cast("long")
     held = F.pmod(F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
-    rows = docs.select(
-        text_or_empty(text).cast("binary").alias("_t"),
-        F.coalesce(F.floor(ident / BLOCK_DOCS), F.lit(-1)).cast("long").alias("_b"),
-        held.alias("_h"),
-        ident.alias("_i"),
-    )
-    learned = rows.select("_t", "_b", (~F.col("_h")).alias("train"))
-    packed = learned.mapInArrow(_pack_bigrams(segments), "segment int, block long, keys binary, counts binary")
-    grams = materialize(
-        packed.repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_bigrams(segments), _BIGRAM_SCHEMA),
-        "lm-bigrams",
-    )
-    contexts = grams.filter("target >= 0").select(
-        F.col("target").alias("segment"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"),
+    rows = docs.select(text_or_empty(text).cast("binary").alias("_t"), held.alias("_h"), ident.alias("_i"))
+    chunks = materialize(rows.mapInArrow(_chunks, _CHUNK_SCHEMA), "lm-chunks")
+    size = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    segments = max(MIN_SEGMENTS, size // SEGMENT_BYTES)
+    texts = chunks.select("chunk", "learned", "words", "stream")
+
+    def at_segments(questions: DataFrame, answer, schema: str) -> DataFrame:
+        return questions.repartition("segment").sortWithinPartitions("segment").mapInArrow(answer, schema)
+
+    grams = texts.mapInArrow(_ask_bigrams(segments), _ASKED_SCHEMA)
+    grams = materialize(at_segments(grams, _answer_bigrams(segments), _ANSWER_SCHEMA), "lm-bigrams")
+    stats = grams.filter(F.col("kind") == STATS).agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
+    masses = grams.filter(F.col("kind") == CONTEXTS).select(
+        F.col("to").cast("int").alias("segment"), F.lit(_MASSES).alias("kind"), F.lit(-1).cast("long").alias("chunk"),
         F.col("packed").alias("words"), F.lit(b"").alias("counts"),
     )
-    counted = learned.mapInArrow(_pack_words(segments), _WORD_SCHEMA)
-    entries = materialize(
-        counted.union(contexts).repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_words, _DICT_SCHEMA),
-        "lm-words",
-    )
-    totals = entries.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
-    stats = grams.filter(F.col("target") == STATS).agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
+    words = texts.mapInArrow(_ask_words(segments), _WORD_SCHEMA).union(masses)
+    words = materialize(at_segments(words, _answer_words, _NUMBER_SCHEMA), "lm-words")
+    totals = words.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
     once, twice = stats["once"] or 0, stats["twice"] or 0
-    model = Model(totals["n"] or 0, totals["v"] or 0, once / (once + 2 * twice) if once + twice else 0.5)
-    words = entries.select("block", F.lit(0).alias("kind"), "words", "numbers")
-    counts = grams.filter(F.col("target") == COUNTS).select("block", F.lit(1).alias("kind"), "packed", "counts")
-    texts = rows.select("_t", "_b", "_h", "_i").mapInArrow(_pack_docs, _DOC_SCHEMA)
-    dealt = words.union(counts).union(texts).repartition("block").sortWithinPartitions("block", "kind")
+    discount = once / (once + 2 * twice) if once + twice else 0.5
+    model = Model(totals["n"] or 0, totals["v"] or 0, discount, segments)
+    none = F.lit(b"")
+    dealt = (
+        words.select("chunk", F.lit(0).alias("kind"), "segment", F.col("numbers").alias("a"), none.alias("b"), none.alias("c"))
+        .union(grams.filter(F.col("kind") == FOUND).select("to", F.lit(1), "segment", "packed", none, none))
+        .union(chunks.select("chunk", F.lit(2), F.lit(-1), "words", "stream", "marks"))
+        .repartition("chunk")
+        .sortWithinPartitions("chunk", "kind", "segment")
+    )
     return dealt.mapInArrow(_score(model), _OUT_SCHEMA)
 
 
