@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcwright.llm.text import collapsed, text_or_empty
+from arcwright.llm.text import Shelf, collapsed, text_or_empty
 from arcwright.llm.trie import PatriciaOwners
 
 #: Bytes of trie that a task holds before it passes copies on (combiner) or spills (owner).
@@ -105,20 +105,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     with an id has. Texts of any length are compared whole. An empty table gives an empty result.
     A column of ``docs`` that clashes with a result column gives way to it.
     """
-    made = ("keep_id", "group_size", "kept", "text_sha256", "_digest")
-    mine = [F.col(f"`{c}`") for c in docs.columns if c not in made]
-    digest = _digest(collapsed(text_or_empty(text)).cast("binary"))
-    return (
-        docs.select(*mine, digest.alias("_digest"))
-        .join(text_owners(docs, id_col, text), "_digest")
+    shelf = Shelf(docs, ("keep_id", "group_size", "kept", "text_sha256"))
+    ident, whole = shelf.of(id_col), shelf.of(text)
+    digest = _digest(collapsed(text_or_empty(whole)).cast("binary"))
+    out = (
+        shelf.table.select(*shelf.columns, F.col(ident).alias("_id"), digest.alias("_digest"))
+        .join(text_owners(shelf.table, ident, whole), "_digest")
         .select(
-            *mine,
+            *shelf.columns,
             "keep_id",
             "group_size",
-            F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"),
+            F.col("_id").cast("long").eqNullSafe(F.col("keep_id")).alias("kept"),
             F.lower(F.hex("_digest")).alias("text_sha256"),
         )
     )
+    return shelf.back(out)
 
 
 def exact_dedup_query(spark, sf_dir):
