@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwright.llm.text import text_or_empty
+from arcwright.llm.text import Shelf, text_or_empty
 from arcwright.operators.components import connected_components
 from arcwright.session import materialize
 
@@ -55,18 +55,18 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 4, name: str = "_fp") -> DataFrame:
-    """``docs`` with the fingerprint as a signed long; the other columns pass through as they are."""
-    made = docs.drop(name).withColumn("_whole", text_or_empty(text).cast("binary"))
-    schema = docs.drop(name).withColumn(name, F.lit(0).cast("long")).schema
+def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 4) -> DataFrame:
+    """``docs`` with the fingerprint, as a signed long, for its last column ``_fp``; the others pass through."""
+    shelf = Shelf(docs, ("_fp",))
+    made = shelf.table.select(*shelf.columns, text_or_empty(shelf.of(text)).cast("binary").alias("whole"))
+    schema = made.withColumn("whole", F.lit(0).cast("long")).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64)
-            columns = [*batch.columns[:-1], pa.array(fps.view(np.int64), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64), pa.int64())], batch.schema.names)
 
-    return made.mapInArrow(add, schema)
+    return shelf.back(made.mapInArrow(add, schema).withColumnRenamed("whole", "_fp"))
 
 
 def ring(max_bits: int) -> list[list[int]]:
@@ -134,7 +134,7 @@ def _linked(x: np.uint64, others: np.ndarray, chain: list[np.uint64]) -> np.ndar
     return alive
 
 
-def _spanning(fps: np.ndarray, reps: np.ndarray, chain: list[np.uint64]) -> list[tuple[int, int]]:
+def _spanning(fps: np.ndarray, chain: list[np.uint64]) -> list[tuple[int, int]]:
     """A spanning forest of a bucket's links: each member leaves the unreached set once."""
     if len(fps) > REFINE_ABOVE:
         # Linked members differ in at most t bits, so they agree on one of t + 1 parts of what the
@@ -148,25 +148,23 @@ def _spanning(fps: np.ndarray, reps: np.ndarray, chain: list[np.uint64]) -> list
             cut = np.flatnonzero(np.diff(fps[order] & mask)) + 1
             for group in np.split(order, cut):
                 if len(group) > 1:
-                    out += _forest(fps[group], reps[group], chain)
+                    out += _forest(fps[group], chain)
         return out
-    return _forest(fps, reps, chain)
+    return _forest(fps, chain)
 
 
-def _forest(fps: np.ndarray, reps: np.ndarray, chain: list[np.uint64]) -> list[tuple[int, int]]:
-    out = []
-    left_f, left_r = fps, reps
-    while len(left_f) > 1:
-        frontier = [(left_f[0], left_r[0])]
-        left_f, left_r = left_f[1:], left_r[1:]
-        while frontier and len(left_f):
-            x, r = frontier.pop()
-            hit = _linked(x, left_f, chain)
+def _forest(fps: np.ndarray, chain: list[np.uint64]) -> list[tuple[int, int]]:
+    out, left = [], fps
+    while len(left) > 1:
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            x = frontier.pop()
+            hit = _linked(x, left, chain)
             if len(hit):
-                found = list(zip(left_f[hit], left_r[hit], strict=True))
-                out += [(int(r), int(o)) for _, o in found]
-                frontier += found
-                left_f, left_r = np.delete(left_f, hit), np.delete(left_r, hit)
+                found = left[hit]
+                out += [(x, o) for o in found]
+                frontier += list(found)
+                left = np.delete(left, hit)
     return out
 
 
@@ -175,40 +173,43 @@ def _bucket_links(max_bits: int):
     chains = [by_start[start] for start, _ in index_keys(max_bits)]
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_last(batches):
-            now = held
-            if batch is not None:
-                cols = [np.asarray(batch.column(i)) for i in range(4)]
-                now = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if now is None or not len(now[0]):
-                continue
-            kind, key, fps, reps = now
+        now, parts = None, []
+
+        def close() -> list[tuple[int, int]]:
+            fps = np.concatenate(parts)
+            return _spanning(fps.view(np.uint64), chains[now[0]]) if len(fps) > 1 else []
+
+        for batch in batches:
+            kind, key, fps = (np.asarray(batch.column(i)) for i in range(3))
             new = np.flatnonzero((np.diff(kind) != 0) | (np.diff(key) != 0)) + 1
-            cuts = np.concatenate(([0], new, [len(key)]))
-            if batch is not None:  # the last bucket may go on in the next batch
-                held = [x[cuts[-2] :] for x in now]
-                cuts = cuts[:-1]
+            cuts = [0, *new.tolist(), len(key)] if len(key) else []
             out = []
-            for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
-                a, b = cuts[k], cuts[k + 1]
-                out += _spanning(fps[a:b].view(np.uint64), reps[a:b], chains[kind[a]])
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                bucket = (kind[a], key[a])
+                if bucket != now:
+                    out += close() if parts else []
+                    now, parts = bucket, []
+                parts.append(fps[a:b])  # a bucket may go on in the next batch
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"]
-                )
+                yield _link_batch(out)
+        out = close() if parts else []
+        if out:
+            yield _link_batch(out)
 
     return links
 
 
-def _with_last(batches):
-    """The batches, then None: what is held back is handled at the end."""
-    yield from batches
-    yield None
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array(links, np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
 def near_duplicates(fps: DataFrame, id_col: str = "doc_id", max_bits: int = 4) -> DataFrame:
-    """``(id, _fp)`` -> ``(_fp, component_id)`` over distinct fingerprints."""
+    """``(id, _fp)`` -> ``(_fp, component_id)`` over distinct fingerprints.
+
+    The nodes are the fingerprints, whatever ids their rows have: a fingerprint whose ids are all
+    null still bridges others, and an id on two texts does not fuse them.
+    """
     fps = fps.groupBy("_fp").agg(F.min(id_col).alias("_rep"))
     keys = F.array(
         *[
@@ -219,14 +220,15 @@ def near_duplicates(fps: DataFrame, id_col: str = "doc_id", max_bits: int = 4) -
             for kind, (_, mask) in enumerate(index_keys(max_bits))
         ]
     )
-    exploded = fps.filter(F.col("_rep").isNotNull()).select(F.explode(keys).alias("e"), "_fp", "_rep")
-    dealt = (
-        exploded.select("e.s", "e.k", "_fp", "_rep").repartition(F.col("s"), F.col("k")).sortWithinPartitions("s", "k")
+    exploded = fps.select(F.explode(keys).alias("e"), "_fp").select("e.s", "e.k", "_fp")
+    dealt = exploded.repartition(F.col("s"), F.col("k")).sortWithinPartitions("s", "k")
+    found = materialize(connected_components(dealt.mapInArrow(_bucket_links(max_bits), "a long, b long")), "simhash-classes")
+    owners = (
+        found.join(fps, F.col("node") == F.col("_fp")).groupBy("component").agg(F.min("_rep").alias("_owner"))
     )
-    links = dealt.mapInArrow(_bucket_links(max_bits), "a long, b long")
-    found = connected_components(links)
-    return fps.join(found, F.col("_rep") == F.col("node"), "left").select(
-        "_fp", F.coalesce("component", "_rep").alias("component_id")
+    linked = found.join(owners, "component").select("node", "_owner", F.lit(True).alias("_linked"))
+    return fps.join(linked, F.col("_fp") == F.col("node"), "left").select(
+        "_fp", F.when(F.col("_linked"), F.col("_owner")).otherwise(F.col("_rep")).alias("component_id")
     )
 
 
@@ -236,10 +238,11 @@ def simhash_components(
     """``(id, fingerprint, component_id)`` of each row of ``docs``.
 
     A null text counts as empty; a text without words has fingerprint zero and is linked like any
-    other; a text of fewer words than ``width`` is one shingle. Rows with equal fingerprints are
-    one node, whose smallest id stands for them, so copies cost nothing in the search. A null id
-    is a component's id only where all ids of the component are null. Repeated rows get equal
-    results; an empty table gives an empty result.
+    other; a text of fewer words than ``width`` is one shingle; a text of any length is read whole.
+    Rows with equal fingerprints are one node, so copies cost nothing in the search. A null id is a
+    component's id only where all ids of the component are null; such a row links like any other.
+    Repeated rows get equal results; an empty table gives an empty result. Other columns are left
+    out, so their names cannot clash.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_t"))
     fps = materialize(with_fingerprint(narrow, "_t", width).select("_id", "_fp"), "simhash-fp")
@@ -255,14 +258,14 @@ def simhash_dedup(
 
     A column of ``docs`` that clashes with a result column gives way to it.
     """
-    mine = docs.drop("fingerprint", "component_id", "_fp", "_rep", "_id", "_t")
-    narrow = mine.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_t"))
-    fps = materialize(with_fingerprint(narrow, "_t", width).select("_id", "_fp"), "simhash-fp")
-    return (
-        with_fingerprint(mine, text, width)
-        .join(near_duplicates(fps, "_id", max_bits), "_fp")
-        .select(*[F.col(f"`{c}`") for c in mine.columns], _hex("_fp").alias("fingerprint"), "component_id")
+    shelf = Shelf(docs, ("fingerprint", "component_id"))
+    ident = F.col(shelf.of(id_col)).cast("long").alias("_id")
+    fps = with_fingerprint(shelf.table.select(*shelf.columns, ident, F.col(shelf.of(text)).alias("_t")), "_t", width)
+    narrow = materialize(fps.select("_id", "_fp"), "simhash-fp")
+    out = fps.join(near_duplicates(narrow, "_id", max_bits), "_fp").select(
+        *shelf.columns, _hex("_fp").alias("fingerprint"), "component_id"
     )
+    return shelf.back(out)
 
 
 def _hex(column: str):
