@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcwright.llm.text import WS, text_or_empty, words
+from arcwright.llm.text import WS, Shelf, text_or_empty, words
 
 # Frequent function words of the corpus languages.
 STOP_WORDS = {
@@ -18,9 +18,6 @@ STOP_WORDS = {
     "es": "con de del el en es la las lo los más no o para por que se su un una y",
 }
 
-#: Bits of a packed word position; the rest of a long holds a window's hash.
-POSITION_BITS = 24
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -75,28 +72,41 @@ def _pinned(column: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, column)
 
 
-def _repeated_words(words_col: Column, packed: Column) -> Column:
+def _window_hash(*three: Column) -> Column:
+    return F.xxhash64(*three)
+
+
+def _repeated_words(words_col: Column, packed: Column, bits: Column) -> Column:
     """Words inside three-word windows that occur twice or more.
 
-    ``packed`` holds one long per window, its hash above its position, in sorted order, so equal
-    windows are neighbours. Neighbours with one hash are compared word by word. What remains is
-    the measure of a union of ``[p, p + 3)`` over the repeated positions ``p``.
+    ``packed`` holds one long per window, its hash above the ``bits`` of its position, in sorted
+    order, so equal windows are neighbours unless another window has their hash. Neighbours with one
+    hash are compared word by word; a window that differs from both is compared with all of its
+    hash. What remains is the measure of a union of ``[p, p + 3)`` over the repeated positions ``p``.
     """
-    mask = (1 << POSITION_BITS) - 1
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
     def at(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(mask)).cast("int")
+        return x.bitwiseAND(mask).cast("int")
+
+    def one_hash(x: Column, other: Column) -> Column:
+        return F.coalesce(F.call_function("shiftright", x.bitwiseXOR(other), bits) == 0, F.lit(False))
 
     def same(x: Column, other: Column) -> Column:
-        equal = F.shiftright(x, POSITION_BITS) == F.shiftright(other, POSITION_BITS)
+        equal = one_hash(x, other)
         for k in range(3):
             equal = equal & (F.get(words_col, at(x) + k) == F.get(words_col, at(other) + k))
         return F.coalesce(equal, F.lit(False))
 
-    repeated = F.filter(
-        packed, lambda x, k: same(x, F.get(packed, k + 1)) | same(x, F.get(packed, k - 1))
-    )
-    positions = F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(F.lit(mask))))
+    def found(x: Column, k: Column) -> Column:
+        after, before = F.get(packed, k + 1), F.get(packed, k - 1)
+        clash = one_hash(x, after) | one_hash(x, before)
+        return F.when(same(x, after) | same(x, before), F.lit(True)).when(
+            clash, F.exists(packed, lambda y: (y != x) & same(x, y))
+        ).otherwise(F.lit(False))
+
+    repeated = F.filter(packed, found)
+    positions = F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(mask)))
     covered = F.aggregate(
         positions,
         F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-3).cast("long").alias("last")),
@@ -126,39 +136,40 @@ def score_quality(
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "n_stop_words", "n_lines", "base_failed", "kept",
     ]
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in made]
-    whole = text_or_empty(text)
-    split = docs.select(
-        *keep,
+    shelf = Shelf(docs, tuple(made))
+    whole = text_or_empty(shelf.of(text))
+    split = shelf.table.select(
+        *shelf.columns,
         whole.alias("_text"),
         _pinned(words(whole)).alias("_words"),
         F.filter(F.split(whole, "\n"), lambda x: x.rlike(f"[^{WS}]")).alias("_lines"),
     )
+    # As many bits as positions of this text need, so the hash gets all others.
+    split = split.withColumn("_bits", _pinned(F.ceil(F.log2(F.size("_words") + 2)).cast("int")))
     hashed = F.transform(
         F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0))),
-        lambda w, i: F.shiftleft(
-            F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)), POSITION_BITS
+        lambda w, i: F.call_function(
+            "shiftleft", _window_hash(w, F.get("_words", i + 1), F.get("_words", i + 2)), F.col("_bits")
         ).bitwiseOR(i.cast("long")),
     )
     sorted_ = split.select("*", _pinned(F.sort_array(hashed)).alias("_packed"))
     counted = sorted_.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in made],
+        *shelf.columns,
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_text", f"[{WS}]+", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", "")))
         .cast("long")
         .alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _pinned(_repeated_words(F.col("_words"), F.col("_packed"))).alias("n_repeat_words"),
+        _pinned(_repeated_words(F.col("_words"), F.col("_packed"), F.col("_bits"))).alias("n_repeat_words"),
         F.size(F.filter("_words", lambda w: F.lower(w).isin(stop))).cast("long").alias("n_stop_words"),
         F.size("_lines").cast("long").alias("n_lines"),
     )
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     )
-    return counted.select("*", failed.alias("base_failed")).select(
-        "*", (~F.col("base_failed") & compile_rules(rules)).alias("kept")
-    )
+    judged = counted.select("*", failed.alias("base_failed"))
+    return shelf.back(judged.select("*", (~F.col("base_failed") & compile_rules(rules)).alias("kept")))
 
 
 def quality_query(spark, sf_dir):
