@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwright.llm.text import text_or_empty
+from arcwright.llm.text import Shelf, text_or_empty
 
 # Fixed value: the published pre-tokenization pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,6 +34,8 @@ KEEP_PAIRS = 1_500_000
 BLOCK_CHARS = 2_000_000
 #: Bytes of new words per trie: what the trie's nodes may cost at once.
 TRIE_BYTES = 256 << 10
+#: Bytes above which a word shares too little to be worth a path of nodes.
+LONG_BYTES = 256
 
 
 _BYTES = [bytes([b]) for b in range(256)]
@@ -109,6 +112,9 @@ class TrieEncoder:
         size = 0
         for word in words:
             raw = word.encode()
+            if len(raw) > LONG_BYTES:
+                self._words[word] = self._encode_alone(raw)
+                continue
             block.append((word, raw))
             size += len(raw)
             if size >= TRIE_BYTES:
@@ -155,7 +161,26 @@ class TrieEncoder:
                 else:
                     stack.append((path + _BYTES[b], below))
 
-    def _read(self, last: list[int]) -> bytes:
+    def _encode_alone(self, raw: bytes) -> bytes:
+        """A long word by itself, by the same last-token states; no suffix is longer than a token."""
+        suffixes, stable = self.suffixes, self._stable
+        last = array("i", [-1])
+        for n in range(1, len(raw) + 1):
+            found, k = [], n - 1
+            while k >= 0 and (token := suffixes.get(raw[k:n])) is not None:
+                if token >= 0:
+                    found.append((last[k], token))
+                k -= 1
+            for pair in reversed(found):
+                fits = stable.get(pair)
+                if fits or (fits is None and self.fits(*pair)):
+                    last.append(pair[1])
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+        return self._read(last)
+
+    def _read(self, last: list[int] | array) -> bytes:
         """Walk the last tokens back from the end of the word."""
         out, at = [], len(last) - 1
         while at > 0:
@@ -230,13 +255,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool =
     alike; an empty table gives an empty result. A column of ``docs`` that clashes with a result
     column gives way to it.
     """
-    made = ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
-    mine = docs.drop(text, *made)
-    out = mine
-    for name, kind in zip(made, ("array<int>", "long", "string", "string"), strict=True):
-        if ids or name != "token_ids":
-            out = out.withColumn(name, F.lit(None).cast(kind))
-
+    made = {"token_ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    shelf = Shelf(docs, (text, *made))
+    out = shelf.table.select(
+        *shelf.columns, *[F.lit(None).cast(kind).alias(name) for name, kind in made.items() if ids or name != "token_ids"]
+    )
     names = out.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +278,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool =
             columns += [pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    whole = docs.select(*[F.col(f"`{c}`") for c in mine.columns], text_or_empty(text).alias("_whole"))
-    return whole.mapInArrow(run, out.schema)
+    whole = shelf.table.select(*shelf.columns, text_or_empty(shelf.of(text)).alias("whole"))
+    return shelf.back(whole.mapInArrow(run, out.schema))
 
 
 def default_vocabulary() -> str:
