@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwright.llm.text import text_or_empty, words
+from arcwright.llm.text import Shelf, text_or_empty, words
 from arcwright.session import materialize
 
 #: Words of a block.
@@ -82,7 +82,9 @@ def _run(sql: str, name: str, table: DataFrame) -> DataFrame:
     """The query with ``{name}`` standing for ``table``."""
     view = f"{name}_{uuid.uuid4().hex}"
     table.createOrReplaceTempView(view)
-    return table.sparkSession.sql(sql.replace("{" + name + "}", view))
+    out = table.sparkSession.sql(sql.replace("{" + name + "}", view))
+    table.sparkSession.catalog.dropTempView(view)  # the plan has it by now
+    return out
 
 
 def word_count(text: str):
@@ -106,18 +108,18 @@ def mix(
     own words; what is above goes to the rest by weight. Sources are ordered by code point; a null
     source is one source, the last. ``taken`` is the number of the document's words in the mix,
     repeats counted, at most ``cap`` times its size. A null, empty or blank text has size 0 and
-    nothing taken. Ties in the seeded order fall to id, then size; repeated rows are documents of
+    nothing taken; a text of any length is counted whole. Ties in the seeded order fall to id, then size; repeated rows are documents of
     their own. An empty table gives an empty result. ``size`` names a column that already holds
     the word count. A column of ``docs`` that clashes with a result column gives way to it.
     """
-    made = ("size", "source_size", "target", "taken")
-    mine = [c for c in docs.columns if c not in made]
-    counted = F.col(size) if size else word_count(text)
+    shelf = Shelf(docs, ("size", "source_size", "target", "taken"))
+    docs, id_col, source = shelf.table, shelf.of(id_col), shelf.of(source)
+    counted = F.col(shelf.of(size)) if size else word_count(shelf.of(text))
     n_docs = docs.count()
     shards = max(1, min(MAX_SHARDS, -(-n_docs // SHARD_DOCS)))
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("-"))))
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in mine],
+        *shelf.columns,
         counted.alias("size"),
         F.col(source).alias("_source"),
         F.struct(key.alias("k"), F.col(id_col).alias("i"), counted.alias("s")).alias("_order"),
@@ -172,7 +174,7 @@ def mix(
         "_end", F.expr("sum(size) OVER (PARTITION BY _source, _shard ORDER BY _order ROWS UNBOUNDED PRECEDING)")
     ).join(plan, F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_shard") == F.col("_psh")))
     taken = F.expr(_TAKEN)
-    return placed.select(*[F.col(f"`{c}`") for c in mine], "size", "source_size", "target", taken.alias("taken"))
+    return shelf.back(placed.select(*shelf.columns, "size", "source_size", "target", taken.alias("taken")))
 
 
 #: Whole passes, then the overlap with the run of blocks and with what of it wraps around.
@@ -194,16 +196,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     A document that a run of blocks cuts is in the run if at least half of its words are. Rows
     with no words are never taken.
     """
-    columns = docs.columns
-    mixed = mix(docs.withColumns({f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(columns)}), **options)
+    shelf = Shelf(docs)
+    named = {key: shelf.of(options.pop(key, default)) for key, default in (("id_col", "doc_id"), ("source", "source"), ("text", "text"))}
+    mixed = mix(shelf.table, **named, **options)
     times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    return (
-        mixed.filter(F.col("size") > 0)
-        .withColumn("_times", times)
-        .filter(F.col("_times") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
-    )
+    taken = mixed.filter(F.col("size") > 0).withColumn("_times", times).filter(F.col("_times") > 0)
+    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return shelf.back(copies.select(*shelf.columns))
 
 
 def mixture_query(spark, sf_dir):
