@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwright.session import scratch_path
+from arcwright.session import discard, materialize, scratch_path
 
 #: Payloads of fewer bytes are always written as responses.
 MIN_REVISIT_BYTES = 1000
@@ -35,11 +35,12 @@ def _sha256(payload: Column) -> Column:
     return F.coalesce(F.sha2(payload, 256), F.lit(""))
 
 
-def _urn(ident: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(ident.cast("string"), F.lit("")), F.lit(">"))
+def _urn(record: Column) -> Column:
+    """``<urn:page:ID:SERIAL>``; the id is left empty if null. The serial is the record's own."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(record["id"].cast("string"), F.lit("")), F.lit(":"), record["serial"].cast("string"), F.lit(">"))
 
 
-def _header(kind: Column, refers: Column, ident: Column, url: Column, sha1: Column, n: Column) -> Column:
+def _header(kind: Column, refers: Column, record: Column, url: Column, sha1: Column, n: Column) -> Column:
     """Everything of a record that precedes its payload: the WARC header and the HTTP header."""
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit(_END)
@@ -51,7 +52,7 @@ def _header(kind: Column, refers: Column, ident: Column, url: Column, sha1: Colu
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
-        F.concat(F.lit("WARC-Record-ID: "), _urn(ident)),
+        F.concat(F.lit("WARC-Record-ID: "), _urn(record)),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), sha1),
@@ -71,15 +72,27 @@ def write_archive(
     Of records with equal payloads of at least ``min_revisit`` bytes, that with the largest id is
     a response and the others revisit it; rows that repeat the largest id are all responses. A
     null html is an empty payload, a null url an empty one, and a null id counts as smaller than
-    any. An empty table makes an empty archive. Other columns of ``pages`` are not archived.
+    any. Every row gets a record id of its own, also if its page id is null or repeats. A payload
+    of any length is stored whole. An empty table makes an empty archive. Other columns of
+    ``pages`` are not archived, so their names cannot clash.
     """
     payload = _payload(html)
+    # Serials differ from run to run, so the rows that carry them are written before they are used.
+    rows = materialize(
+        pages.select(
+            F.struct(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("serial")).alias("record"),
+            F.col(url).alias("url"),
+            _sha256(payload).alias("digest"),
+            F.sha1(payload).alias("sha1"),
+            F.octet_length(payload).cast("long").alias("n"),
+        ),
+        "warc-rows",
+    )
     (
-        pages.select(F.col(id_col).alias("id"), payload.alias("payload"))
+        pages.select(payload.alias("payload"))
         .groupBy(_sha256(F.col("payload")).alias("digest"))
         .agg(
             F.first("payload").alias("payload"),
-            F.max("id").alias("owner"),
             # A second digest and the length must agree before bytes count as stored.
             (
                 (F.min(F.sha1("payload")) == F.max(F.sha1("payload")))
@@ -91,22 +104,18 @@ def write_archive(
         .write.option("compression", "zstd")
         .parquet(f"{path}/payloads")
     )
-    spark = pages.sparkSession
-    owners = spark.read.parquet(f"{path}/payloads").select("digest", "owner")
-    rows = pages.select(
-        F.col(id_col).alias("id"),
-        F.col(url).alias("url"),
-        _sha256(payload).alias("digest"),
-        F.sha1(payload).alias("sha1"),
-        F.octet_length(payload).cast("long").alias("n"),
-    )
-    kind = F.when((F.col("n") >= min_revisit) & ~F.col("id").eqNullSafe(F.col("owner")), "revisit").otherwise("response")
+    # Structs order by id, nulls first, then serial.
+    owners = rows.groupBy("digest").agg(F.max("record").alias("owner"))
+    revisits = (F.col("n") >= min_revisit) & ~F.col("record.id").eqNullSafe(F.col("owner.id"))
+    kind = F.when(revisits, "revisit").otherwise("response")
+    header = _header(kind, F.col("owner"), F.col("record"), F.col("url"), F.col("sha1"), F.col("n"))
     (
         rows.join(owners, "digest")
-        .select("id", _header(kind, F.col("owner"), F.col("id"), F.col("url"), F.col("sha1"), F.col("n")).alias("header"), "digest")
+        .select(header.alias("header"), "digest")
         .write.option("compression", "zstd")
         .parquet(f"{path}/headers")
     )
+    discard(rows)
     return path
 
 
@@ -115,53 +124,67 @@ def _clash() -> Column:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records of an archive: what their headers say, their payload, and the record's bytes.
+    """The records of an archive, put together again: what they say, their payload, and their bytes.
 
-    ``payload_bytes`` and ``payload_digest`` are computed from the stored bytes, once per distinct
-    payload, and hold for revisits too. Stored bytes that do not have the digest they are filed
-    under end the read.
+    ``payload_digest`` is what the record's header declares, and must be that of the stored bytes,
+    which is computed once per distinct payload. ``payload_bytes`` of a response are counted in the
+    record itself, whose block must be as long as the header declares; a revisit has those of the
+    payload that it refers to. Whatever does not agree ends the read.
     """
     stored = spark.read.parquet(f"{path}/payloads").select(
         "digest",
-        F.when(_sha256(F.col("payload")) == F.col("digest"), F.octet_length("payload").cast("long"))
-        .otherwise(F.raise_error(F.lit("a stored payload does not have its digest")).cast("long"))
-        .alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
+        F.when(_sha256(F.col("payload")) == F.col("digest"), F.sha1("payload"))
+        .otherwise(F.raise_error(F.lit("a stored payload does not have its digest")).cast("string"))
+        .alias("sha1"),
         "payload",
     )
     text = F.col("header").cast("string")
 
     def ident(name: str) -> Column:
-        found = F.regexp_extract(text, rf"\r\n{name}: <urn:page:(-?\d*)>\r\n", 1)
+        found = F.regexp_extract(text, rf"\r\n{name}: <urn:page:(-?\d*):\d+>\r\n", 1)
         return F.when(found != "", found).cast("long")
 
     parsed = spark.read.parquet(f"{path}/headers").select(
         "digest",
         "header",
         ident("WARC-Record-ID").alias("page_id"),
+        F.regexp_extract(text, r"\r\nWARC-Record-ID: (<[^>]*>)\r\n", 1).alias("record_id"),
         F.regexp_extract(text, r"\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"),
         ident("WARC-Refers-To").alias("refers_to"),
+        F.regexp_extract(text, r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]{40})\r\n", 1).alias("payload_digest"),
+        # Of the record's own header, which ends at the first empty line.
+        F.regexp_extract(F.substring_index(text, _END, 1), r"\r\nContent-Length: (\d+)$", 1).cast("long").alias("declared"),
+        (F.octet_length("header") - F.octet_length(F.substring_index(text, _END, 1)) - len(_END)).alias("http"),
     )
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return parsed.join(stored, "digest").select(
+    record = F.concat(F.col("header"), body, F.lit(_END.encode()))
+    built = parsed.join(stored, "digest").select("*", record.alias("record"))
+    in_record = F.octet_length("record") - F.octet_length("header") - len(_END)
+    agrees = (F.col("payload_digest") == F.col("sha1")) & (F.col("declared") == F.col("http") + in_record)
+    size = F.when(F.col("record_type") == "response", in_record).otherwise(F.octet_length("payload")).cast("long")
+    return built.select(
         "page_id",
-        "payload_bytes",
+        F.when(agrees, size).otherwise(F.raise_error(F.lit("a record is not what its header declares")).cast("long")).alias("payload_bytes"),
         "payload_digest",
         "record_type",
         "refers_to",
+        "record_id",
         "payload",
-        F.concat(F.col("header"), body, F.lit(_END.encode())).alias("record"),
+        "record",
     )
 
 
 def export_warc(records: DataFrame, path: str) -> None:
-    """Write the records' bytes as gzipped WARC files, one per partition."""
+    """Write the records' bytes as WARC files, one per partition, each gzipped as a whole."""
     bare = F.expr(f"substring(record, 1, octet_length(record) - {len(_END)})").cast("string")
     records.select(bare.alias("value")).write.option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``(header, block)`` of every record in the WARC files below ``path``, gzipped or plain."""
+    """``(header, block)`` of every record in the WARC files below ``path``, gzipped or plain.
+
+    A file is one cell, so it may have 2 GB at most as it lies there; it is unpacked as a stream.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -217,6 +217,12 @@ def test_warc(spark, tmp_path):
         want[i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", owner if revisit else None] += 1
     rows = records.collect()
     assert Counter(tuple(r)[:5] for r in rows) == want
+    assert len({r["record_id"] for r in rows}) == len(rows)
+    for r in rows:
+        refers = re.search(rb"WARC-Refers-To: (<[^>]*>)", bytes(r["record"]))
+        if refers:
+            (target,) = [o for o in rows if o["record_id"] == refers[1].decode()]
+            assert (target["record_type"], target["payload"], target["page_id"]) == ("response", r["payload"], r["refers_to"])
     assert spark.read.parquet(f"file://{tmp_path}/a/payloads").count() == len({(h or "") for _, _, h in PAGES})
     for r in rows:
         head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
@@ -234,11 +240,22 @@ def test_warc(spark, tmp_path):
 def test_changed_payload_is_noticed(spark, tmp_path):
     path = warc.write_archive(spark.createDataFrame(PAGES[:1], "page_id long, url string, html string"), f"file://{tmp_path}/a")
     stored = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit(b"other")).collect()
-    spark.createDataFrame(stored, "digest string, payload binary, owner long").write.mode("overwrite").parquet(f"{path}/payloads")
+    spark.createDataFrame(stored, "digest string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="does not have its digest"):
         warc.read_archive(spark, path).collect()
 
 
+def test_changed_header_is_noticed(spark, tmp_path):
+    path = warc.write_archive(spark.createDataFrame(PAGES[:3], "page_id long, url string, html string"), f"file://{tmp_path}/a")
+    for change in ("'sha1:.', 'sha1:g'", "'Content-Length: (\\\\d+)', 'Content-Length: 1$1'"):
+        headers = spark.read.parquet(f"{path}/headers")
+        bad = headers.withColumn("header", F.expr(f"cast(regexp_replace(cast(header as string), {change}) as binary)")).collect()
+        spark.createDataFrame(bad, headers.schema).write.mode("overwrite").parquet(f"{tmp_path}/b/headers")
+        spark.read.parquet(f"{path}/payloads").write.mode("overwrite").parquet(f"{tmp_path}/b/payloads")
+        with pytest.raises(Exception, match="is not what its header declares"):
+            warc.read_archive(spark, f"file://{tmp_path}/b").collect()
+
+
 def test_near_stage_against_brute_force(spark):
     """Edited copies at similarities around 0.8: nearly all true groups are found, and nothing else goes."""
     rng = random.Random(5)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arcwright.llm import bpe, exact_dedup, lm, quality, simhash
+from pyspark.sql import functions as F
+
+from arcwright.llm import bpe, exact_dedup, lines, lm, mixture, neardup, quality, simhash
+from arcwright.llm import trie as trie_module
 from arcwright.llm.trie import PatriciaOwners
 
 WS = "[\x20\x09-\x0d]+"
@@ -65,6 +69,38 @@ def test_exact_dedup(odd, odd_rows, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_repeated_windows_with_one_hash(spark, monkeypatch):
+    """With every hash equal, windows are told apart by their words alone; the order by position puts others between."""
+    rng = np.random.default_rng(5)
+    texts = ["p q r x y z p q r", "a b c a b d a b c", *(" ".join(rng.choice(list("abc"), rng.integers(3, 40))) for _ in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        windows = Counter(zip(w, w[1:], w[2:], strict=False))
+        plain[i] = len({k + d for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for d in range(3)})
+    assert {r["doc_id"]: r["n_repeat_words"] for r in quality.score_quality(docs).collect()} == plain
+    monkeypatch.setattr(quality, "_window_hash", lambda *three: F.lit(7).cast("long"))
+    assert {r["doc_id"]: r["n_repeat_words"] for r in quality.score_quality(docs).collect()} == plain
+
+
+def test_clashing_names(odd):
+    """Columns called as operators' own helpers keep their values."""
+    names = ["_text", "_words", "_id", "_digest", "_whole", "whole", "_t", "_i", "_key", "_shard", "_quota", "_in0", "doc", "pos", "node", "a", "Kept"]
+    docs = odd.select("doc_id", "text", "source", *[F.lit(f"mine {name}").alias(name) for name in names])
+    results = {
+        "exact": exact_dedup.exact_dedup(docs), "quality": quality.score_quality(docs), "simhash": simhash.simhash_dedup(docs),
+        "bpe": bpe.bpe_encode(docs, bpe.default_vocabulary()), "mix": mixture.mix(docs), "mixed": mixture.mix_documents(docs),
+        "near": neardup.near_dedup(docs), "lines": lines.line_dedup(docs),
+    }
+    for operator, out in results.items():
+        rows = out.collect()
+        assert len(rows) >= 10, operator
+        for name in names:
+            if name != "Kept" or operator not in ("exact", "quality"):
+                assert {r[name] for r in rows} == {f"mine {name}"}, (operator, name)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.binary(max_size=6), st.integers(0, 50)), max_size=60), st.sampled_from([1, 900, 1 << 40]))
 def test_trie_owners(rows, budget):
@@ -78,6 +114,32 @@ def test_trie_owners(rows, budget):
     assert budget > 1 or not rows or trie.spilled or all(not k for k, _ in rows)
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 9)), min_size=1, max_size=80), st.integers(1, 60_000))
+def test_trie_spills_keys_with_a_long_shared_prefix(rows, budget):
+    """Whatever the prefix, a key is written by its subtree and once more when the file is dealt."""
+    head, written = b"h" * 6000, Counter()
+    trie = PatriciaOwners(budget)
+    want = {}
+    add = trie_module._Spill.add
+
+    def counting(self, key, *rest):
+        written[key] += 1
+        add(self, key, *rest)
+
+    trie_module._Spill.add = counting
+    try:
+        for tail, i in rows:
+            key = head + b"t" * tail  # each key is a prefix of the longer ones
+            trie.insert(key, i, 1, key)
+            low, n = want.get(key, (i, 0))
+            want[key] = (min(low, i), n + 1)
+        assert {key: (i, n) for i, n, key in trie.owners()} == want
+    finally:
+        trie_module._Spill.add = add
+    assert all(times <= 2 * want[key][1] for key, times in written.items())
+
+
 def plain_fingerprint(text, width):
     w = [x.encode() for x in words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
     if not w:
@@ -138,6 +200,14 @@ def test_pigeonring_loses_no_link(spark, bits, monkeypatch):
     assert got == {fp: min(number[x] for x in group) for fp, group in closure(fps, bits).items()}
 
 
+def test_simhash_null_bridge_and_repeated_id(spark):
+    """Fingerprints 0, 15, 255: the middle one's ids are all null. Id 7 is on 1 << 40 and 1 << 50 | 255 << 50."""
+    rows = [(1, 0), (None, 15), (2, 255), (7, 1 << 40), (7, 1023 << 52), (None, 1023 << 40)]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, _fp long"))
+    got = {r["_fp"]: r["component_id"] for r in out.collect()}
+    assert got == {0: 1, 15: 1, 255: 1, 1 << 40: 1, 1023 << 52: 7, 1023 << 40: None}
+
+
 def test_large_bucket_is_refined(monkeypatch):
     monkeypatch.setattr(simhash, "REFINE_ABOVE", 50)
     rng = np.random.default_rng(1)
@@ -145,8 +215,11 @@ def test_large_bucket_is_refined(monkeypatch):
     fps = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) & np.uint64(~mask & (1 << 64) - 1))
     fps = np.unique(np.concatenate([fps, fps[:200] ^ np.uint64(1 << 60)]))
     chain = simhash._chains(4)[start]
-    links = simhash._spanning(fps, np.arange(len(fps)), chain)
-    whole = simhash._forest(fps, np.arange(len(fps)), chain)
+    number = {int(fp): k for k, fp in enumerate(fps)}
+    links, whole = (
+        [(number[int(a)], number[int(b)]) for a, b in found]
+        for found in (simhash._spanning(fps, chain), simhash._forest(fps, chain))
+    )
 
     def parts(edges):
         root = list(range(len(fps)))
@@ -186,6 +259,20 @@ def test_bpe_equals_the_library(tokenizer, text):
     assert mine.decode(mine.encode(text)) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_long_words(tokenizer):
+    """Words above and below the length that a trie takes give the library's ids, in time that grows with the length."""
+    mine = bpe.TrieEncoder(bpe.default_vocabulary())
+    for text in ("ab" * 40_000, "x" * 257, "\xe9t\xe9" * 300, " " * 5000, "7" * 3000, "the" * 85 + " " + "the" * 86):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == ids
+    took = []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        mine.encode("abcd" * (n // 4))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
 def test_bpe_tables_start_anew(tokenizer, monkeypatch, odd_rows):
     monkeypatch.setattr(bpe, "KEEP_WORDS", 5)
     monkeypatch.setattr(bpe, "KEEP_PAIRS", 50)
