@@ -65,12 +65,10 @@ def probe_edges(probes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def probe_edges_by_scan(probes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same answer from the source's whole adjacency run."""
-    joined = probes.join(adjacency_lists(edges), F.col("src") == F.col("node"), "left")
-    hit = F.filter("neighbors", lambda x: x["neighbor"] == F.col("dst"))
-    return joined.select(
-        "src",
-        "dst",
-        (F.coalesce(F.size(hit), F.lit(0)) > 0).alias("exists"),
-        F.coalesce(F.get(hit, F.lit(0))["weight"], F.lit(0).cast("long")).alias("weight"),
-    )
+    """The same answer from the whole adjacency run of each probed source.
+
+    The runs are picked by source, then met edge by edge: a hub's run is neither gathered into one
+    row nor copied for each of its probes.
+    """
+    runs = edges.join(probes.select("src").distinct(), "src", "left_semi")
+    return probe_edges(probes, runs)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcwright.operators.links import Links
 from arcwright.operators.local import FINISH_EDGES, Csr, dijkstra, in_one_task
-from arcwright.session import discard, materialize
+from arcwright.session import scratch_path
 
 
 def distances(
@@ -15,16 +18,19 @@ def distances(
     weighted: bool = False,
     target: int | None = None,
     finish_edges: int = FINISH_EDGES,
+    nearest_k: int | None = None,
 ) -> DataFrame:
     """``(node, distance)`` of every node that ``source`` reaches along out-edges, itself at 0.
 
-    Edges beyond ``finish_edges`` are relaxed in rounds: the frontier, the nodes whose distance just
-    fell, is joined to the edges on their source; the least sum per node is kept where it is an
-    improvement. A round ends early if ``target`` can no longer improve. Fewer edges go to one task.
+    Edges beyond ``finish_edges`` are relaxed in rounds. The frontier, the nodes whose distance just
+    fell, is sent along the edges, which are laid out once; the least sum per node is kept where it
+    is an improvement, and appended to what earlier rounds wrote, which nothing rewrites. A round is
+    the last if ``target`` can no longer improve, or if ``nearest_k`` nodes besides the source are
+    nearer than the frontier, and so final. Fewer edges go to one task.
     """
     weight = F.col("weight") if weighted else F.lit(1).cast("long")
     edges = edges.select("src", "dst", weight.alias("weight"))
-    if edges.limit(finish_edges + 1).count() <= finish_edges:
+    if edges.count() <= finish_edges:
 
         def run(src, dst, weight):
             top = max([source, *(int(a.max()) for a in (src, dst) if len(a))])
@@ -32,29 +38,34 @@ def distances(
 
         return in_one_task(edges, ["src", "dst", "weight"], run, "node long, distance long")
     spark = edges.sparkSession
-    dist = spark.createDataFrame([(source, 0, True)], "node long, distance long, fresh boolean")
-    while True:
-        frontier = dist.filter("fresh")
-        reach = (
-            frontier.join(edges, F.col("node") == F.col("src"))
-            .groupBy("dst")
-            .agg(F.min(F.col("distance") + F.col("weight")).alias("through"))
-        )
-        better = F.col("through") < F.coalesce("distance", F.col("through") + 1)
-        following = dist.join(reach, F.col("node") == F.col("dst"), "full").select(
-            F.coalesce("node", "dst").alias("node"),
-            F.least("distance", "through").alias("distance"),
-            F.coalesce(better, F.lit(False)).alias("fresh"),
+    links = Links(edges)
+    path, schema = scratch_path(spark, "dist"), "node long, distance long"
+    frontier = spark.createDataFrame([(source, 0)], schema)
+    for number in count():
+        frontier.write.parquet(f"{path}/round={number}")
+        best = spark.read.schema(schema).parquet(path).groupBy("node").agg(F.min("distance").alias("distance"))
+        frontier = spark.read.schema(schema).parquet(f"{path}/round={number}")
+        front = frontier.agg(F.min("distance")).first()[0]
+        if front is None or _settled(best, front, target, nearest_k):
+            links.close()
+            return best
+        reach = links.send(frontier).groupBy("dst").agg(F.min(F.col("distance") + F.col("weight")).alias("through"))
+        frontier = (
+            reach.join(best, F.col("dst") == F.col("node"), "left")
+            .filter(F.col("distance").isNull() | (F.col("through") < F.col("distance")))
+            .select(F.col("dst").alias("node"), F.col("through").alias("distance"))
         )
-        following = materialize(following, "dist")
-        discard(dist)
-        dist = following
-        state = dist.agg(
-            F.min(F.when(F.col("fresh"), F.col("distance"))).alias("front"),
-            F.min(F.when(F.col("node") == F.lit(target), F.col("distance"))).alias("at_target"),
-        ).first()
-        if state["front"] is None or (state["at_target"] is not None and state["front"] >= state["at_target"]):
-            return dist.select("node", "distance")
+    raise AssertionError("the rounds have no end of their own")
+
+
+def _settled(best: DataFrame, front: int, target: int | None, nearest_k: int | None) -> bool:
+    """Whether no node that is asked for can come nearer: sums through the frontier are ``front`` at least."""
+    if target is None and nearest_k is None:
+        return False
+    at_target = F.min(F.when(F.col("node") == F.lit(target), F.col("distance")))
+    seen = best.agg(at_target.alias("at"), F.count_if(F.col("distance") < front).alias("final")).first()
+    there = target is not None and seen["at"] is not None and seen["at"] <= front
+    return there or (nearest_k is not None and seen["final"] > nearest_k)
 
 
 def shortest_distance(edges: DataFrame, source: int, target: int, weighted: bool = False, **options) -> int:
@@ -67,5 +78,5 @@ def shortest_distance(edges: DataFrame, source: int, target: int, weighted: bool
 
 def nearest(edges: DataFrame, source: int, k: int, weighted: bool = False, **options) -> DataFrame:
     """The ``k`` nodes nearest to ``source``, itself left out, by distance, then node."""
-    found = distances(edges, source, weighted, **options)
+    found = distances(edges, source, weighted, nearest_k=k, **options)
     return found.filter(F.col("node") != source).orderBy("distance", "node").limit(k)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arcwright.operators.local import FINISH_EDGES, in_one_task
+from arcwright.operators.links import Links
 from arcwright.operators.order import number_rows
 from arcwright.session import discard, materialize
 
@@ -25,8 +26,7 @@ def pagerank(
     """``((node, pagerank), iterations)``; mass of nodes without out-edges is spread over all nodes.
 
     An iteration is one job: join the scores to the edges on their source, sum by target, join back
-    to the nodes. The edges are written once, hash-dealt by source with their share, and only the
-    scores change. The mass that flows along edges is summed in the same job; what is missing from
+    to the nodes. The edges are dealt once, by source, and only scores and sums are shuffled. The mass that flows along edges is summed in the same job; what is missing from
     the total was held by dangling nodes. The L1 change is observed while the scores are written.
     At most ``finish_edges`` edges over as many dense ids are iterated on in one task.
     """
@@ -35,7 +35,7 @@ def pagerank(
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("pagerank")), 0
     dense = size["low"] == 0 and size["high"] == n - 1
-    if dense and n <= finish_edges and edges.limit(finish_edges + 1).count() <= finish_edges:
+    if dense and n <= finish_edges and edges.count() <= finish_edges:
 
         def run(src, dst):
             scores, k = power_iteration(n, src, dst, damping, max_iterations, tolerance)
@@ -45,15 +45,11 @@ def pagerank(
         done = materialize(done, "pr-scores")
         return done.drop("rounds"), done.first()["rounds"]
     shares = edges.groupBy("src").agg(F.count("*").alias("_out"))
-    links = materialize(edges.select("src", "dst").join(shares, "src").select("src", "dst", (1.0 / F.col("_out")).alias("share")), "pr-links")
+    links = Links(edges.select("src", "dst").join(shares, "src").select("src", "dst", (1.0 / F.col("_out")).alias("share")))
     scores = nodes.select("node", F.lit(1.0 / n).alias("score"))
     iterations = 0
     for iterations in range(1, max_iterations + 1):
-        flow = (
-            links.join(scores, F.col("src") == F.col("node"))
-            .groupBy("dst")
-            .agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        )
+        flow = links.send(scores).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
         held = scores.agg(F.sum("score").alias("mass")).crossJoin(flow.agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("moved")))
         base = F.lit((1.0 - damping) / n) + F.lit(damping / n) * F.greatest(F.col("mass") - F.col("moved"), F.lit(0.0))
         seen = Observation()
@@ -69,6 +65,7 @@ def pagerank(
         scores = following
         if seen.get["delta"] < tolerance:
             break
+    links.close()
     total = scores.agg(F.sum("score").alias("total"))
     return scores.crossJoin(F.broadcast(total)).select("node", (F.col("score") / F.col("total")).alias("pagerank")), iterations
 

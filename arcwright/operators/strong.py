@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwright.operators.components import connected_components
+from arcwright.operators.components import FINISH_ROWS, connected_components
+from arcwright.operators.links import Links
 from arcwright.operators.local import FINISH_EDGES, Csr, depth_first, in_one_task, least_member
 from arcwright.operators.order import number_rows
-from arcwright.session import discard, materialize
+from arcwright.session import discard, materialize, scratch_path
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
     """``(node, wcc_id)``: components are numbered by their smallest node; lone nodes are components."""
-    found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), finish_rows)
     rooted = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
     numbers = number_rows(rooted.filter("node = root").select("root"), F.col("root").asc(), name="n")
     return rooted.join(numbers, "root").select("node", (F.col("n") - 1).alias("wcc_id"))
@@ -30,11 +33,9 @@ def strong_roots(nodes: DataFrame, edges: DataFrame, finish_edges: int = FINISH_
     """
     edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "scc-edges")
     settled: list[DataFrame] = []
-    while edges.limit(finish_edges + 1).count() > finish_edges:
-        if edges.isEmpty():
-            break
+    while (n := edges.count()) > finish_edges and n:
         inner = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
-        colour = _spread(inner, edges, "src", "dst")
+        colour = _spread(inner, edges)
         inside = edges.join(colour.toDF("src", "_cs"), "src").join(colour.toDF("dst", "_cd"), "dst").filter("_cs = _cd")
         inside = materialize(inside.select("src", "dst", F.col("_cs").alias("colour")), "scc-inside")
         found = _reached_back(inside)
@@ -65,41 +66,44 @@ def strong_roots(nodes: DataFrame, edges: DataFrame, finish_edges: int = FINISH_
     return out.join(found, "node", "left").select("node", F.coalesce("scc_root", "node").alias("scc_root"))
 
 
-def _spread(nodes: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``(node, colour)``: the least node that reaches each node along ``a -> b``, itself included."""
-    colour = materialize(nodes.select("node", F.col("node").alias("colour")), "colour")
+def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, colour)``: the least node that reaches each node, itself included. Only colours that fell are sent on."""
+    links = Links(edges)
+    colour = materialize(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")), "colour")
     while True:
-        passed = (
-            edges.join(colour, F.col(a) == F.col("node")).groupBy(F.col(b).alias("to")).agg(F.min("colour").alias("c"))
-        )
+        passed = links.send(colour.filter("moved").drop("moved")).groupBy("dst").agg(F.min("colour").alias("c"))
         following = materialize(
-            colour.join(passed, F.col("node") == F.col("to"), "left").select(
+            colour.drop("moved").join(passed, F.col("node") == F.col("dst"), "left").select(
                 "node", F.least("colour", "c").alias("colour"), (F.coalesce("c", "colour") < F.col("colour")).alias("moved")
             ),
             "colour",
         )
         discard(colour)
-        colour = following.drop("moved")
-        if following.filter("moved").isEmpty():
-            return colour
+        colour = following
+        if colour.filter("moved").isEmpty():
+            links.close()
+            return colour.drop("moved")
 
 
 def _reached_back(inside: DataFrame) -> DataFrame:
-    """``(node, scc_root)``: in each colour, the nodes from which the colour's own node is reached."""
-    found = materialize(inside.filter("dst = colour").select(F.col("colour").alias("node"), "colour").distinct(), "back")
-    while True:
-        more = (
-            inside.join(found.toDF("dst", "colour"), ["dst", "colour"])
-            .select(F.col("src").alias("node"), "colour")
-            .distinct()
-            .join(found, "node", "left_anti")
-        )
-        more = materialize(more, "back-more")
-        if more.isEmpty():
+    """``(node, scc_root)``: in each colour, the nodes from which the colour's own node is reached.
+
+    Edges run inside one colour, so a node's colour need not be sent along. Rounds are appended.
+    """
+    links = Links(inside.select("src", "dst", "colour"), by="dst", to="src")
+    path, schema = scratch_path(inside.sparkSession, "back"), "node long, colour long"
+    fresh = inside.filter("dst = colour").select(F.col("colour").alias("node"), "colour").distinct()
+    spark = inside.sparkSession
+    for number in count():
+        fresh.write.parquet(f"{path}/round={number}")
+        found = spark.read.schema(schema).parquet(path)
+        fresh = spark.read.schema(schema).parquet(f"{path}/round={number}")
+        if fresh.isEmpty():
+            links.close()
             return found.select("node", F.col("colour").alias("scc_root"))
-        following = materialize(found.union(more), "back")
-        discard(found)
-        found = following
+        sent = links.send(fresh.select("node")).select(F.col("src").alias("node"), "colour").distinct()
+        fresh = sent.join(found, "node", "left_anti")
+    raise AssertionError("the rounds have no end of their own")
 
 
 def number_strong(roots: DataFrame, edges: DataFrame) -> DataFrame:

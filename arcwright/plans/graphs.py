@@ -1,7 +1,7 @@
-"""Graphs projected from the test tables.
+"""The graph projected from the test tables.
 
-DENSE: parts are nodes; a line item runs from its part to the part numbered by its order, with the
-least quantity as weight. SPARSE: the same over first line items that were returned.
+Parts are nodes; a line item runs from its part to the part numbered by its order, with the least
+quantity as weight.
 """
 
 from __future__ import annotations
@@ -17,11 +17,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("node"))
 
 
-def raw_edges(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges before cleaning: self-loops and duplicates are still there."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    if sparse:
-        items = items.filter((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R"))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").count()
     return items.select(
         F.col("l_partkey").alias("src"),
@@ -30,19 +28,18 @@ def raw_edges(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFra
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    return edges_from_table(raw_edges(spark, sf_dir, sparse), "src", "dst", F.col("weight"))
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges_from_table(raw_edges(spark, sf_dir), "src", "dst", F.col("weight"))
 
 
-def kept_edges(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+def kept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges written once, for queries that read them again and again."""
-    return materialize(edges(spark, sf_dir, sparse), "graph-edges")
+    return materialize(edges(spark, sf_dir), "graph-edges")
 
 
-#: The same two graphs as DuckDB common table expressions.
+#: The same graph as DuckDB common table expressions.
 SQL = """
-raw AS (SELECT l_partkey AS src, l_orderkey % (SELECT count(*) FROM part) AS dst, CAST(floor(l_quantity) AS BIGINT) AS weight,
-               l_linenumber = 1 AND l_returnflag = 'R' AS thin FROM lineitem),
+raw AS (SELECT l_partkey AS src, l_orderkey % (SELECT count(*) FROM part) AS dst, CAST(floor(l_quantity) AS BIGINT) AS weight
+        FROM lineitem),
 n AS (SELECT p_partkey AS node FROM part),
-dense AS (SELECT src, dst, min(weight) AS weight FROM raw WHERE src <> dst GROUP BY 1, 2),
-sparse AS (SELECT src, dst, min(weight) AS weight FROM raw WHERE src <> dst AND thin GROUP BY 1, 2)"""
+dense AS (SELECT src, dst, min(weight) AS weight FROM raw WHERE src <> dst GROUP BY 1, 2)"""

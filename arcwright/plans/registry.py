@@ -124,8 +124,8 @@ def build_stats(spark, sf_dir):
 
 
 def _rendered(spark, sf_dir) -> DataFrame:
-    """SPARSE as an edge-list text with a comment, blanks, a self-loop and a repeated line each."""
-    edges = graphs.edges(spark, sf_dir, sparse=True)
+    """DENSE as an edge-list text with a comment, blanks, a self-loop and a repeated line each."""
+    edges = graphs.edges(spark, sf_dir)
     line = F.concat_ws(" ", "src", "dst", "weight")
     lines = edges.select(
         F.explode(
@@ -141,7 +141,7 @@ def _rendered(spark, sf_dir) -> DataFrame:
     return lines.withColumn("ord", F.monotonically_increasing_id())
 
 
-@query(_with("SELECT src, dst, weight FROM sparse"))
+@query(_with("SELECT src, dst, weight FROM dense"))
 def edgelist_parse(spark, sf_dir):
     text = materialize(_rendered(spark, sf_dir), "edge-text")
     return parse_lines(text, weighted=True).edges.select("src", "dst", "weight")
@@ -149,12 +149,12 @@ def edgelist_parse(spark, sf_dir):
 
 @query(
     _with(
-        """SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM sparse) AS edges, true AS had_header,
+        """SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM dense) AS edges, true AS had_header,
        CAST(0 AS BIGINT) AS self_loops_removed, CAST(0 AS BIGINT) AS duplicates_removed"""
     )
 )
 def edgelist_header(spark, sf_dir):
-    edges = graphs.kept_edges(spark, sf_dir, sparse=True)
+    edges = graphs.kept_edges(spark, sf_dir)
     n = graphs.nodes(spark, sf_dir).count()
     head = spark.createDataFrame([(f"{n} {edges.count()}", -1)], "value string, ord long")
     body = edges.select(F.concat_ws(" ", "src", "dst", "weight").alias("value"), F.monotonically_increasing_id().alias("ord"))
@@ -198,11 +198,11 @@ def block_cost(spark, sf_dir):
 @query(
     _with(
         """SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight, dst) AS out_pos,
-       row_number() OVER (PARTITION BY dst ORDER BY weight, src) AS in_pos FROM sparse"""
+       row_number() OVER (PARTITION BY dst ORDER BY weight, src) AS in_pos FROM dense"""
     )
 )
 def adj_position(spark, sf_dir):
-    placed = adjacency.adjacency_positions(graphs.edges(spark, sf_dir, sparse=True), order="weight")
+    placed = adjacency.adjacency_positions(graphs.edges(spark, sf_dir), order="weight")
     return placed.select("src", "dst", "out_pos", "in_pos")
 
 
@@ -357,7 +357,7 @@ def index_leaves(spark, sf_dir):
 
 # Components and cycles.
 
-_WCC = """, und AS (SELECT src AS a, dst AS b FROM sparse UNION SELECT dst, src FROM sparse),
+_WCC = """, und AS (SELECT src AS a, dst AS b FROM dense UNION SELECT dst, src FROM dense),
 lab(node, root) USING KEY (node) AS (
   SELECT node, node FROM n
   UNION
@@ -367,7 +367,7 @@ wcc AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS wcc_id FROM lab)""
 
 
 def _weak(spark, sf_dir) -> DataFrame:
-    return strong.weak_components(graphs.nodes(spark, sf_dir), graphs.edges(spark, sf_dir, sparse=True))
+    return strong.weak_components(graphs.nodes(spark, sf_dir), graphs.edges(spark, sf_dir))
 
 
 @query(_with("SELECT node, wcc_id FROM wcc", recursive=True, more=_WCC))
@@ -391,17 +391,25 @@ def wcc_summary(spark, sf_dir):
     return strong.size_summary(strong.component_sizes(_weak(spark, sf_dir), "wcc_id"))
 
 
-_SCC = """, reach AS (
-  SELECT src AS a, dst AS b FROM sparse
+#: Reach as one bit string a node: who reaches it (fwd turned around, so bwd) and whom it reaches, or-ed to a fixed point.
+_SCC = """, bits AS MATERIALIZED (
+  SELECT node, set_bit(bitstring('0', (SELECT count(*) FROM n)::INT), node::INT, 1) AS b FROM n),
+fwd(node, b) USING KEY (node) AS (
+  SELECT node, b FROM bits
+  UNION
+  SELECT e.src, bit_or(f.b) | any_value(r.b) FROM fwd f JOIN dense e ON f.node = e.dst JOIN recurring.fwd r ON r.node = e.src
+  GROUP BY e.src HAVING (bit_or(f.b) | any_value(r.b)) <> any_value(r.b)),
+bwd(node, b) USING KEY (node) AS (
+  SELECT node, b FROM bits
   UNION
-  SELECT r.a, e.dst FROM reach r JOIN sparse e ON r.b = e.src),
-roots AS (
-  SELECT node, least(node, coalesce(min(y.b), node)) AS scc_root
-  FROM n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach z ON x.a = z.b AND x.b = z.a) y ON node = y.a GROUP BY node)"""
+  SELECT e.dst, bit_or(f.b) | any_value(r.b) FROM bwd f JOIN dense e ON f.node = e.src JOIN recurring.bwd r ON r.node = e.dst
+  GROUP BY e.dst HAVING (bit_or(f.b) | any_value(r.b)) <> any_value(r.b)),
+roots AS MATERIALIZED (
+  SELECT node, CAST(bit_position('1'::BIT, f.b & w.b) - 1 AS BIGINT) AS scc_root FROM fwd f JOIN bwd w USING (node))"""
 
 
 def _strong(spark, sf_dir) -> DataFrame:
-    return strong.strong_roots(graphs.nodes(spark, sf_dir), graphs.edges(spark, sf_dir, sparse=True))
+    return strong.strong_roots(graphs.nodes(spark, sf_dir), graphs.edges(spark, sf_dir))
 
 
 @query(_with("SELECT node, scc_root FROM roots", recursive=True, more=_SCC))
@@ -423,7 +431,7 @@ FROM (SELECT count(*) AS size FROM roots GROUP BY scc_root)""",
     )
 )
 def cycle_stats(spark, sf_dir):
-    return strong.cycle_stats(_strong(spark, sf_dir), graphs.edges(spark, sf_dir, sparse=True))
+    return strong.cycle_stats(_strong(spark, sf_dir), graphs.edges(spark, sf_dir))
 
 
 @query(
@@ -451,7 +459,7 @@ def same_components(spark, sf_dir):
 @query()
 def back_edges(spark, sf_dir):
     """Back edges of the depth-first forest; its order is sequential, which SQL cannot express."""
-    edges = graphs.edges(spark, sf_dir, sparse=True).withColumn("ord", F.col("src") * (1 << 31) + F.col("dst"))
+    edges = graphs.edges(spark, sf_dir).withColumn("ord", F.col("src") * (1 << 31) + F.col("dst"))
     n = graphs.nodes(spark, sf_dir).count()
     return strong.depth_first_forest(n, edges).agg(
         F.max("back_edges").alias("back_edges"), F.countDistinct("scc_id").alias("components")
@@ -475,21 +483,21 @@ def bfs_distances(spark, sf_dir):
     return paths.distances(graphs.kept_edges(spark, sf_dir), SOURCE)
 
 
-@query(_with("SELECT node, distance FROM dist", recursive=True, more=_distance_sql("e.weight", "sparse")))
+@query(_with("SELECT node, distance FROM dist", recursive=True, more=_distance_sql("e.weight", "dense")))
 def sssp_weighted(spark, sf_dir):
-    return paths.distances(graphs.kept_edges(spark, sf_dir, sparse=True), SOURCE, weighted=True)
+    return paths.distances(graphs.kept_edges(spark, sf_dir), SOURCE, weighted=True)
 
 
 @query(
     _with(
         "SELECT node, coalesce(distance, -1) AS distance FROM n LEFT JOIN dist USING (node)",
         recursive=True,
-        more=_distance_sql("1", "sparse"),
+        more=_distance_sql("1", "dense"),
     )
 )
 def shortest_distance(spark, sf_dir):
     """Hops from the source to every node, -1 without a path: the bulk form of the pair query."""
-    found = paths.distances(graphs.kept_edges(spark, sf_dir, sparse=True), SOURCE)
+    found = paths.distances(graphs.kept_edges(spark, sf_dir), SOURCE)
     return graphs.nodes(spark, sf_dir).join(found, "node", "left").select(
         "node", F.coalesce("distance", F.lit(-1).cast("long")).alias("distance")
     )
@@ -506,6 +514,41 @@ def knn(spark, sf_dir):
     return paths.nearest(graphs.kept_edges(spark, sf_dir), SOURCE, NEAREST, weighted=True)
 
 
+# The same queries with every round distributed: no graph is small enough for the one-task finishers.
+
+
+@query(_SQL["pagerank"])
+def pagerank_rounds(spark, sf_dir):
+    nodes, edges = graphs.nodes(spark, sf_dir), graphs.kept_edges(spark, sf_dir)
+    scores, _ = ranking.pagerank(nodes, edges, max_iterations=ROUNDS, tolerance=0.0, finish_edges=0)
+    return _shown(scores)
+
+
+@query(_SQL["scc"])
+def scc_rounds(spark, sf_dir):
+    return strong.strong_roots(graphs.nodes(spark, sf_dir), graphs.edges(spark, sf_dir), finish_edges=0)
+
+
+@query(_SQL["wcc"])
+def wcc_rounds(spark, sf_dir):
+    return strong.weak_components(graphs.nodes(spark, sf_dir), graphs.edges(spark, sf_dir), finish_rows=0)
+
+
+@query(_SQL["bfs_distances"])
+def bfs_rounds(spark, sf_dir):
+    return paths.distances(graphs.kept_edges(spark, sf_dir), SOURCE, finish_edges=0)
+
+
+@query(_SQL["sssp_weighted"])
+def sssp_rounds(spark, sf_dir):
+    return paths.distances(graphs.kept_edges(spark, sf_dir), SOURCE, weighted=True, finish_edges=0)
+
+
+@query(_SQL["knn"])
+def knn_rounds(spark, sf_dir):
+    return paths.nearest(graphs.kept_edges(spark, sf_dir), SOURCE, NEAREST, weighted=True, finish_edges=0)
+
+
 # Functions and metadata.
 
 
@@ -540,15 +583,15 @@ def edge_hash(spark, sf_dir):
 
 @query()
 def probe_lengths(spark, sf_dir):
-    """How many edges of SPARSE take how many probes; the table's fill is sequential."""
-    edges = graphs.kept_edges(spark, sf_dir, sparse=True).withColumn("ord", F.col("src") * (1 << 31) + F.col("dst"))
+    """How many edges take how many probes; the table's fill is sequential."""
+    edges = graphs.kept_edges(spark, sf_dir).withColumn("ord", F.col("src") * (1 << 31) + F.col("dst"))
     return probe_table(edges, edges.count()).groupBy("probes").agg(F.count("*").alias("edges"))
 
 
 @query()
 def pool_sweep(spark, sf_dir):
     """Blocks that pools of several sizes read for a distance query; expansion order is sequential."""
-    edges = graphs.kept_edges(spark, sf_dir, sparse=True).withColumn("ord", F.col("src") * (1 << 31) + F.col("dst"))
+    edges = graphs.kept_edges(spark, sf_dir).withColumn("ord", F.col("src") * (1 << 31) + F.col("dst"))
     n = graphs.nodes(spark, sf_dir).count()
     return sweep(n, edges, SOURCE, n - 1)
 
@@ -569,7 +612,7 @@ def sanitize_name(spark, sf_dir):
 
 @query(
     _with(
-        """SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM sparse) AS edges,
+        """SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM dense) AS edges,
        (SELECT count(DISTINCT scc_root) FROM roots) AS num_scc,
        (SELECT max(c) FROM (SELECT count(*) AS c FROM roots GROUP BY scc_root)) AS largest_scc,
        (SELECT count(DISTINCT wcc_id) FROM wcc) AS num_wcc,
@@ -582,7 +625,7 @@ def sanitize_name(spark, sf_dir):
 )
 def graph_meta(spark, sf_dir):
     """The order-independent figures of a graph, as one row."""
-    nodes, edges = graphs.nodes(spark, sf_dir), graphs.kept_edges(spark, sf_dir, sparse=True)
+    nodes, edges = graphs.nodes(spark, sf_dir), graphs.kept_edges(spark, sf_dir)
     scc_sizes_ = strong.component_sizes(strong.strong_roots(nodes, edges), "scc_root")
     strong_part = scc_sizes_.agg(
         F.count("*").alias("num_scc"),

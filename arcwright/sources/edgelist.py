@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcwright.model import EdgeListError
@@ -25,10 +25,22 @@ class ParsedGraph:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(value, ord)`` of a text file; ``ord`` follows the file, across its splits too."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"))
-    # Within a split the generated id rises with the line; the split's start puts splits in order.
-    return lines.withColumn("ord", F.col("at") * (1 << 20) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    """``(value, ord)`` of a text file, or of a folder's files in the order of their names.
+
+    ``ord`` rises with the lines, across splits and files: the files' sizes are added up by name,
+    and a split counts from where it starts. A line takes a byte at least, so no two lines meet.
+    """
+    meta = {"file": "file_path", "size": "file_size", "at": "file_block_start"}
+    lines = spark.read.text(path).select("value", *[F.col(f"_metadata.{field}").alias(name) for name, field in meta.items()])
+    # Within a split the generated id rises with the line; a split's first line has its least one.
+    numbered = materialize(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
+    splits = numbered.groupBy("file", "at").agg(F.min("id").alias("first"))
+    by_name = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = numbered.groupBy("file").agg(F.max("size").alias("size")).select(
+        "file", F.coalesce(F.sum("size").over(by_name), F.lit(0)).alias("before")
+    )
+    starts = splits.join(files, "file").select("file", "at", (F.col("before") + F.col("at") - F.col("first")).alias("shift"))
+    return numbered.join(starts, ["file", "at"]).select("value", (F.col("id") + F.col("shift")).alias("ord"))
 
 
 def tokenize(lines: DataFrame) -> DataFrame:
@@ -54,7 +66,7 @@ def has_header(tokens: DataFrame, weighted: bool) -> bool:
         "ord", "n", F.size("tokens").alias("width"), _at(0).alias("nodes"), _at(1).alias("edges")
     ).first()
     if first["n"] == 0:
-        raise EdgeListError("edge list is empty")
+        raise EdgeListError("no rows in the edge list")
     nodes, edges = first["nodes"], first["edges"]
     if first["width"] != 2 or nodes is None or edges is None or nodes <= 0 or edges != first["n"] - 1:
         return False
@@ -86,10 +98,10 @@ def parse_lines(
         (_at(2) if weighted else F.lit(1).cast("long")).alias("weight"),
     )
     problem = (
-        F.when(F.size("tokens") < width, F.concat(F.lit(f"expected {width} values, found "), F.size("tokens").cast("string")))
-        .when(F.col("src").isNull() | F.col("dst").isNull() | F.col("weight").isNull(), F.lit("not an integer"))
-        .when((F.col("src") < 0) | (F.col("dst") < 0), F.lit("node ids must be non-negative"))
-        .when(F.col("weight") < 0, F.lit("negative weights are not supported"))
+        F.when(F.size("tokens") < width, F.concat(F.lit(f"a row has {width} columns at least, this one "), F.size("tokens").cast("string")))
+        .when(F.col("src").isNull() | F.col("dst").isNull() | F.col("weight").isNull(), F.lit("a column that is no whole number"))
+        .when((F.col("src") < 0) | (F.col("dst") < 0), F.lit("a node id below zero"))
+        .when(F.col("weight") < 0, F.lit("a weight below zero"))
     )
     loop = (F.col("src") == F.col("dst")) if drop_self_loops else F.lit(False)
     seen = rows.agg(
@@ -108,7 +120,7 @@ def parse_lines(
     total = edges.agg(F.count("*").alias("n"), F.max(F.greatest("src", "dst")).alias("max_id")).first()
     num_nodes = max(declared, (-1 if total["max_id"] is None else total["max_id"]) + 1)
     if num_nodes <= 0:
-        raise EdgeListError("edge list contains no usable edges")
+        raise EdgeListError("no edge is left after cleaning")
     return ParsedGraph(
         num_nodes, edges, total["n"], weighted, header, seen["loops"], seen["n"] - seen["loops"] - total["n"]
     )
