@@ -5,12 +5,17 @@ from __future__ import annotations
 import argparse
 import random
 import sys
+from dataclasses import asdict
 from statistics import mean
 
+from pyspark.sql import functions as F
+
 from arcwright.model import EngineError
-from arcwright.plans.engine import GraphEngine
+from arcwright.plans.engine import Graph, GraphEngine
 from arcwright.session import get_session
 
+#: Nodes of a score window.
+WINDOW = 50
 #: kind -> (method, fewest arguments, most arguments)
 QUERIES = {
     "indegree": ("in_degree", 1, 1),
@@ -38,6 +43,8 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     sub.add_parser("list")
     for name in ("info", "delete", "bench-index"):
         sub.add_parser(name).add_argument("name")
+    sub.choices["bench-index"].add_argument("--samples", type=int, default=10, help="random edges, and random score windows")
+    sub.choices["bench-index"].add_argument("--seed", type=int, default=7)
     query = sub.add_parser("query")
     query.add_argument("name")
     query.add_argument("kind", choices=QUERIES)
@@ -63,6 +70,25 @@ def summary(label: str, results: list) -> None:
           + (f", {mean(blocks):.2f} blocks" if blocks else ""))
 
 
+def bench_index(graph: Graph, samples: int, seed: int) -> None:
+    """Random edges of the whole graph by both lookups, the hash table's figures, and windows of the ordered index."""
+    pairs = [tuple(r) for r in graph.edges.select("src", "dst").orderBy(F.rand(seed)).limit(samples).collect()]
+    if pairs:
+        found = [graph.has_edge(*p) for p in pairs]
+        summary("filter on both keys", found)
+        summary("adjacency scan", [graph.has_edge_by_scan(*p) for p in pairs])
+        probes = sorted(r.value["probes"] for r in found if r.value["probes"] is not None)
+        if probes:
+            print(f"probes: mean {mean(probes):.2f}, p95 {probes[int(0.95 * len(probes))]}, max {probes[-1]}, "
+                  f"load factor {graph.load_factor():.2f}")
+    draw, windows = random.Random(seed), []
+    for _ in range(samples):
+        first = draw.randint(1, max(1, graph.meta.nodes - WINDOW + 1))
+        rows = graph.rank_list(first, min(first + WINDOW - 1, graph.meta.nodes)).value
+        windows.append(graph.nodes_by_score(rows[-1]["pagerank"], rows[0]["pagerank"], WINDOW))
+    summary(f"score range of {WINDOW} nodes", windows)
+
+
 def main(argv: list[str] | None = None) -> int:
     a = arguments(argv)
     if a.command == "query":
@@ -82,7 +108,12 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "delete":
             engine.delete(a.name)
         elif a.command == "info":
-            print(engine.open(a.name).meta.to_json())
+            meta = engine.open(a.name).meta
+            for field, value in asdict(meta).items():
+                if field != "warnings":
+                    print(f"{field.replace('_', ' '):<22} {value:,}" if type(value) is int else f"{field.replace('_', ' '):<22} {value}")
+            for warning in meta.warnings:
+                print(f"  note: {warning}")
         elif a.command == "query":
             args = [*a.args, 100] if a.kind == "scorerange" and len(a.args) == 2 else a.args
             show(getattr(engine.open(a.name), method)(*args))
@@ -93,12 +124,7 @@ def main(argv: list[str] | None = None) -> int:
                 hits = 1 - row["read"] / row["requested"] if row["requested"] else 0
                 print(f"{row['capacity']:>6,} blocks: {row['read']:,} read of {row['requested']:,}, {hits:.1%} hit")
         else:
-            graph = engine.open(a.name)
-            rows = graph.edges.select("src", "dst").limit(10_000).collect()
-            pairs = random.Random(7).sample(rows, min(10, len(rows)))
-            if pairs:
-                summary("filter on both keys", [graph.has_edge(*p) for p in pairs])
-                summary("adjacency scan", [graph.has_edge_by_scan(*p) for p in pairs])
+            bench_index(engine.open(a.name), max(1, a.samples), a.seed)
     except EngineError as error:
         print(error, file=sys.stderr)
         return 1

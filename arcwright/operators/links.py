@@ -10,6 +10,8 @@ from arcwright.session import discard, materialize
 
 #: Edges of one node that stay together; a hub with more has them dealt over several parts.
 HUB_EDGES = 1_000_000
+#: Spark's switch for plans that change while they run.
+_ADAPTS = "spark.sql.adaptive.enabled"
 
 
 class Links:
@@ -27,9 +29,15 @@ class Links:
         dealt = edges.join(self.hubs, F.col(by) == F.col("_hub"), "left").withColumn(
             "_part", F.coalesce(F.pmod(F.xxhash64(to), F.col("_parts").cast("long")).cast("int"), F.lit(0))
         )
-        partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        kept = dealt.select(*edges.columns, "_part").repartition(partitions, by, "_part")
-        self.table = kept.persist(StorageLevel.DISK_ONLY)
+        conf = edges.sparkSession.conf
+        kept = dealt.select(*edges.columns, "_part").repartition(int(conf.get("spark.sql.shuffle.partitions")), by, "_part")
+        # A kept plan that adapts has no partitioning that a join could rely on.
+        before = conf.get(_ADAPTS)
+        conf.set(_ADAPTS, "false")
+        try:
+            self.table = kept.persist(StorageLevel.DISK_ONLY)
+        finally:
+            conf.set(_ADAPTS, before)
 
     def send(self, rows: DataFrame, node: str = "node") -> DataFrame:
         """The edges joined to ``rows`` whose ``node`` is their end."""

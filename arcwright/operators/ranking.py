@@ -103,3 +103,19 @@ def score_range(scores: DataFrame, low: float, high: float, limit: int = 1000) -
     """The ``limit`` lowest scores in the closed range, listed from the highest down."""
     kept = scores.filter(F.col("pagerank").between(low, high)).orderBy("pagerank", "node").limit(limit)
     return kept.select("node", "pagerank").orderBy(F.col("pagerank").desc(), F.col("node").desc())
+
+
+def join_ranges(ranges: DataFrame, scores: DataFrame, width: float) -> DataFrame:
+    """``ranges`` (low, high) joined to the ``scores`` (pagerank) with low <= score < high.
+
+    Both sides go to bins of ``width``, a range to every bin that it meets, so the join is an
+    equi-join on bins; the bounds decide within one. Null bounds or scores meet nothing.
+    """
+
+    def bin_of(x: str) -> Column:
+        return F.floor(F.col(x) / width)
+
+    binned = ranges.filter("low < high").withColumn("_bin", F.explode(F.sequence(bin_of("low"), bin_of("high"))))
+    placed = scores.withColumn("_score_bin", bin_of("pagerank"))
+    met = binned.join(placed, F.col("_bin") == F.col("_score_bin"))
+    return met.filter((F.col("pagerank") >= F.col("low")) & (F.col("pagerank") < F.col("high"))).drop("_bin", "_score_bin")

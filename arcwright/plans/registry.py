@@ -14,7 +14,7 @@ from arcwright.functions.geometry import (
     hash_capacity_column,
     index_geometry,
 )
-from arcwright.functions.hashing import probe_table, with_edge_hash
+from arcwright.functions.hashing import C1, C2, EDGE_SEED, MIX1, MIX2, ROUND_ADD, probe_table, with_edge_hash
 from arcwright.functions.names import sanitize_name_column
 from arcwright.functions.pool import pool_sweep as sweep
 from arcwright.operators import adjacency, paths, ranking, strong
@@ -340,19 +340,45 @@ def score_range(spark, sf_dir):
 
 @query(
     _with(
-        """SELECT CAST(floor((pos - 1) / 41) AS BIGINT) AS leaf, count(*) AS entries, min(pagerank) AS first_score
-FROM (SELECT pagerank, row_number() OVER (ORDER BY pagerank, node) AS pos FROM ranked) GROUP BY 1""",
+        """SELECT *, CASE WHEN leaf < max(leaf) OVER () THEN leaf + 1 ELSE -1 END AS next_leaf
+FROM (SELECT CAST(floor((pos - 1) / 41) AS BIGINT) AS leaf, count(*) AS entries, min(pagerank) AS first_score
+      FROM (SELECT pagerank, row_number() OVER (ORDER BY pagerank, node) AS pos FROM ranked) GROUP BY 1)""",
         more=_PR,
     )
 )
 def index_leaves(spark, sf_dir):
-    """Leaves of the ordered index: entries and first score of each."""
+    """Leaves of the ordered index: entries and first score of each, and the leaf that follows (-1 after the last)."""
     from arcwright.operators.order import number_rows
 
     placed = number_rows(_shown(_scores(spark, sf_dir)), F.col("pagerank").asc(), F.col("node").asc(), name="pos")
-    return placed.groupBy(F.floor((F.col("pos") - 1) / LEAF_ENTRIES).alias("leaf")).agg(
+    leaves = placed.groupBy(F.floor((F.col("pos") - 1) / LEAF_ENTRIES).alias("leaf")).agg(
         F.count("*").alias("entries"), F.min("pagerank").alias("first_score")
     )
+    last = (graphs.nodes(spark, sf_dir).count() - 1) // LEAF_ENTRIES
+    return leaves.withColumn("next_leaf", F.when(F.col("leaf") < last, F.col("leaf") + 1).otherwise(F.lit(-1).cast("long")))
+
+
+#: Ranges of the bulk form: a hundred windows of a hundredth of the top score each.
+WINDOWS = 100
+
+
+@query(
+    _with(
+        f"""SELECT w AS range_id, count(node) AS nodes, min(pagerank) AS lowest, max(pagerank) AS highest
+FROM (SELECT unnest(range({WINDOWS})) AS w) LEFT JOIN ranked ON pagerank >= w * 0.00001 AND pagerank < (w + 5) * 0.00001 GROUP BY 1""",
+        more=_PR,
+    )
+)
+def score_ranges(spark, sf_dir):
+    """A table of overlapping score ranges joined to the scores in them."""
+    ranges = spark.range(WINDOWS).select(
+        F.col("id").alias("range_id"), (F.col("id") * 0.00001).alias("low"), ((F.col("id") + 5) * 0.00001).alias("high")
+    )
+    met = ranking.join_ranges(ranges, _shown(_scores(spark, sf_dir)), width=0.00005)
+    found = met.groupBy("range_id").agg(F.count("*").alias("nodes"), F.min("pagerank").alias("lowest"), F.max("pagerank").alias("highest"))
+    return ranges.select("range_id").join(found, "range_id", "left").select(
+        "range_id", F.coalesce("nodes", F.lit(0).cast("long")).alias("nodes"), "lowest", "highest"
+    )
 
 
 # Components and cycles.
@@ -575,9 +601,50 @@ def index_geometry_of_parts(spark, sf_dir):
     return spark.createDataFrame([(n, *index_geometry(n))], "entries long, height long, blocks long")
 
 
-@query()
+def _edge_hash_sql() -> str:
+    """The hash written out, each word mixed in a step of its own."""
+    low = "({} & 4294967295)".format
+
+    def times(x, by):
+        return low(f"({x} * {by & 0xFFFF} + ((({x} * {by >> 16}) & 65535) << 16))")
+
+    def rotated(x, r):
+        return low(f"(({x} << {r}) | ({x} >> {32 - r}))")
+
+    steps, names = [], iter(f"s{k}" for k in range(99))
+    last = "dense"
+
+    def step(expression: str) -> str:
+        nonlocal last
+        name = next(names)
+        steps.append(f", {name} AS MATERIALIZED (SELECT src, dst, {expression} AS h FROM {last})")
+        last = name
+        return "h"
+
+    def word(column: str, seed: str) -> None:
+        carry = f", {seed} AS seed"
+        nonlocal last
+        for k, expression in enumerate((times(low(column), C1), rotated("k", 15), times("k", C2))):
+            name = next(names)
+            steps.append(f", {name} AS MATERIALIZED (SELECT src, dst, {expression} AS k{carry if k == 0 else ', seed'} FROM {last})")
+            last = name
+        step("xor(seed, k)")
+        step(rotated("h", 13))
+        step(low(f"(h * 5 + {ROUND_ADD})"))
+
+    word("src", str(EDGE_SEED))
+    word("dst", "h")
+    step("xor(h, 8)")
+    for shift, by in ((16, MIX1), (13, MIX2)):
+        step(f"xor(h, h >> {shift})")
+        step(times("h", by))
+    step("xor(h, h >> 16)")
+    return _with(f"SELECT src, dst, h AS edge_hash FROM {last}", more="".join(steps))
+
+
+@query(_edge_hash_sql())
 def edge_hash(spark, sf_dir):
-    """MurmurHash3 of every edge key; tests hold it against published vectors."""
+    """MurmurHash3 of every edge key; tests hold it against published vectors too."""
     return with_edge_hash(graphs.edges(spark, sf_dir))
 
 

@@ -110,6 +110,20 @@ def test_failed_build_keeps_the_earlier_graph(engine):
     assert engine.list() == ["sample"] and engine.open("sample").meta.edges == 7
 
 
+def test_failed_publish_keeps_the_earlier_graph(engine, monkeypatch):
+    real = engine.store.rename
+
+    def rename(old, new):
+        if "/." in old and not old.rpartition("/")[2].startswith(".old"):
+            raise StorageError("no")
+        real(old, new)
+
+    monkeypatch.setattr(engine.store, "rename", rename)
+    with pytest.raises(StorageError):
+        engine.build(str(engine.root / "sample.txt"), "sample")
+    assert "sample" in engine.list() and engine.open("sample").meta.edges == 7
+
+
 def test_meta_json():
     meta = GraphMeta("g", 1, 0, False)
     assert GraphMeta.from_json(meta.to_json()) == meta

@@ -1,12 +1,14 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from arcwright.functions.geometry import hash_capacity, hash_capacity_column, index_geometry
-from arcwright.functions.hashing import edge_hashes, murmur3, probe_table
+from arcwright.functions.hashing import edge_hashes, lookup_probes, murmur3, probe_table
 from arcwright.operators import adjacency, paths, ranking, strong
 from arcwright.operators.components import connected_components
+from arcwright.operators.links import Links
 
 
 def frame(spark, edges):
@@ -212,3 +214,60 @@ def test_probe_table_slots_are_distinct(spark):
     edges = frame(spark, [(k, 3 * k + 1) for k in range(400)])
     rows = probe_table(edges, 400).collect()
     assert len({r["slot"] for r in rows}) == 400 and min(r["probes"] for r in rows) == 1
+
+
+def test_links_split_hubs_and_send_once(spark):
+    edges = [(0, k) for k in range(1, 60)] + [(k, 0) for k in range(1, 20)]
+    links = Links(frame(spark, edges).select("src", "dst"), hub_edges=10)
+    parts = links.table.groupBy("src", "_part").count().collect()
+    assert len({r["_part"] for r in parts if r["src"] == 0}) > 3 and max(r["count"] for r in parts) < 30
+    sent = links.send(spark.createDataFrame([(0, 1.5), (3, 2.5), (77, 3.5)], "node long, score double"))
+    got = sorted((r["src"], r["dst"], r["score"]) for r in sent.collect())
+    assert got == sorted([(0, k, 1.5) for k in range(1, 60)] + [(3, 0, 2.5)])
+    links.close()
+
+
+def test_pagerank_rounds_do_not_shuffle_edges(spark):
+    """With broadcasts off, no exchange lies between the kept edges and the join that a round begins with."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = Links(frame(spark, [(a, (a * 7 + 1) % 50) for a in range(50)]).select("src", "dst"))
+        sent = links.send(spark.range(50).select(F.col("id").alias("node"), F.rand(1).alias("score")))
+        plan = sent._jdf.queryExecution().executedPlan().toString().split("\n")
+        scan = next(k for k, line in enumerate(plan) if "InMemoryTableScan" in line)
+        join = max(k for k, line in enumerate(plan[:scan]) if "SortMergeJoin" in line)
+        assert not any("Exchange" in line for line in plan[join:scan])
+        links.close()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_nearest_stops_early_and_is_exact(spark):
+    edges = [(k, k + 1, 1 + k % 3) for k in range(40)] + [(0, 20, 50), (3, 9, 2)]
+    want = sorted(bellman({(a, b): w for a, b, w in edges}.items(), 0).items(), key=lambda x: (x[1], x[0]))[1:6]
+    assert [tuple(r) for r in paths.nearest(frame(spark, edges), 0, 5, True, finish_edges=0).collect()] == want
+
+
+def test_ranges_join_against_all_pairs(spark):
+    rng = random.Random(3)
+    ranges = [(k, low := rng.random(), low + rng.random() / 5) for k in range(30)] + [(90, 0.5, 0.5), (91, None, 0.4)]
+    scores = [(k, rng.random()) for k in range(80)] + [(99, None)]
+    met = ranking.join_ranges(
+        spark.createDataFrame(ranges, "range_id long, low double, high double"),
+        spark.createDataFrame(scores, "node long, pagerank double"), 0.05,
+    )
+    want = {(r, n) for r, a, b in ranges if a is not None for n, s in scores if s is not None and a <= s < b}
+    got = [(r["range_id"], r["node"]) for r in met.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_lookup_looks_past_long_runs(spark):
+    """A table whose every slot but one is taken: the probe goes round to the free one."""
+    capacity = hash_capacity(3000)
+    home = int(edge_hashes(np.array([5]), np.array([6]))[0]) & (capacity - 1)
+    free = (home - 3) % capacity
+    table = spark.range(capacity).filter(F.col("id") != free).select(
+        F.lit(-1).alias("src"), F.lit(-1).alias("dst"), F.col("id").alias("slot"), F.lit(1).alias("probes")
+    )
+    assert lookup_probes(table, 3000, 5, 6) == capacity - 2

@@ -85,3 +85,15 @@ def test_names(raw, name):
 def test_empty_names(raw):
     with pytest.raises(GraphError):
         sanitize_name(raw)
+
+
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    from arcwright.sources.edgelist import parse_edge_list, read_lines
+
+    for name, rows in (("b.txt", ["0 1 9", "4 5 5"]), ("a.txt", ["# first", "0 1 7", "2 3 4"])):
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    lines = read_lines(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r["value"] for r in lines] == ["# first", "0 1 7", "2 3 4", "0 1 9", "4 5 5"]
+    assert len({r["ord"] for r in lines}) == 5
+    found = {(r["src"], r["dst"]): r["weight"] for r in parse_edge_list(spark, str(tmp_path), weighted=True).edges.collect()}
+    assert found == {(0, 1): 7, (2, 3): 4, (4, 5): 5}
