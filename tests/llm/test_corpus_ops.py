@@ -100,7 +100,7 @@ def test_many_copies_around_one_line_make_one_link_each(spark):
     copies = {" ".join([*stem[:k], f"x{rng.randint(0, 999)}", *stem[k + 1 :]]) for k in range(30) for _ in range(6)}
     rows = [(k, " ".join(stem)) for k in range(5)] + [(10 + k, x) for k, x in enumerate(sorted(copies))]
     split = lines._split_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    links, _ = lines.similar_lines(split)
+    links, _ = lines.similar_lines(lines._keyed_lines(split))
     assert links.distinct().count() == len(copies)
 
 
