@@ -112,6 +112,30 @@ def test_line_dedup_text(spark):
     assert lines.line_classes(df.limit(0)).count() == 0
 
 
+def test_line_query_gives_classes_links_and_cleaned_texts(spark, tmp_path, line_rows):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(9)) for x in "abc")
+    texts = {1: f"{a}\n\nmine", 2: f"{b}\n{a} more", 3: f"x {b[3:]}\n{c}\n{c}", 4: "alone", 5: None, 6: "\n \n"}
+    df = spark.createDataFrame([*texts.items(), (None, f"{c}\nno id")], "doc_id long, text string")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = lines.line_query(spark, f"file://{tmp_path}")
+    got = {r["doc_id"]: tuple(r)[1:] for r in out.collect()}
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert out.columns[1:] == [*lines.REPORT, "text_sha256"]
+    assert got == {
+        1: (2, 0, 0, 2, 1, 0, digest(f"{a}\n\nmine")),
+        2: (2, 0, 1, 1, 1, 1, digest(b)),
+        3: (3, 2, 1, 0, 1, 1, digest("")),
+        4: (1, 0, 0, 1, 4, 0, digest("alone")),
+        5: (0, 0, 0, 0, 5, 0, digest("")),
+        6: (0, 0, 0, 0, 6, 0, digest("\n \n")),
+        None: (2, 0, 0, 2, None, 0, digest(f"{c}\nno id")),
+    }
+    df = spark.createDataFrame(line_rows, "doc_id long, text string")
+    kept = Counter((r["doc_id"], r["text"]) for r in lines.line_dedup(df).collect())
+    assert kept == Counter((r["doc_id"], r["text"]) for r in lines.line_report(df).collect())
+    assert lines.line_report(df.limit(0)).count() == 0
+
+
 def test_no_substring_is_missed(spark, odd, odd_rows, none):
     words = {i: (t or "").lower().split() for i, t, _ in odd_rows if i is not None}
     owner = {}
