@@ -261,7 +261,17 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from emit(held)
 
 
-def _similar_lines(units: DataFrame, rows: DataFrame, sets_of=_line_sets, columns: tuple = ("_t",)) -> DataFrame:
+def _shared_bands(lines: DataFrame) -> DataFrame:
+    """``(band, key, centre)`` of the paragraphs that share a band, by band."""
+    # The commonest paragraph of a bucket is its centre: what was changed differs least from it.
+    narrow = lines.select("key", "rare", F.explode("bands").alias("band"))
+    centre = narrow.groupBy("band").agg(F.min(F.struct("rare", "key")).alias("c"), F.count("*").alias("m")).filter("m > 1")
+    return narrow.drop("rare").join(centre.select("band", F.col("c.key").alias("centre")), "band")
+
+
+def _similar_lines(
+    units: DataFrame, rows: DataFrame, sets_of=_line_sets, columns: tuple = ("_t",), members_of=_shared_bands
+) -> DataFrame:
     """``(key, other)``: pairs of different paragraphs of Jaccard THRESHOLD or more, enough to span each class.
 
     Sketches are part of the condition on which paragraphs meet, so that many that were each
@@ -279,11 +289,7 @@ def _similar_lines(units: DataFrame, rows: DataFrame, sets_of=_line_sets, column
         ),
         "sub-lines",
     )
-    # The commonest paragraph of a bucket is its centre: what was changed differs least from it.
-    narrow = lines.select("key", "rare", F.explode("bands").alias("band"))
-    centre = narrow.groupBy("band").agg(F.min(F.struct("rare", "key")).alias("c"), F.count("*").alias("m")).filter("m > 1")
-    members = narrow.drop("rare").join(centre.select("band", F.col("c.key").alias("centre")), "band")
-    members = materialize(members, "sub-bands")
+    members = materialize(members_of(lines), "sub-bands")
     # Sketches and owners only of what collides.
     colliding = lines.join(members.select("key").distinct(), "key", "left_semi")
     colliding = materialize(colliding.select("key", "doc", F.struct("key", "n", "sketch").alias("p")), "sub-sketches")

@@ -5,11 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arcwright.llm import bpe, chat, lines, mixture, quality, simhash, substring, warc
+from arcwright.llm import bpe, chat, lines, mixture, neardup, quality, simhash, substring, warc
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -344,6 +346,35 @@ def test_near_stage_against_brute_force(spark):
     assert found <= gone and len(found) >= 0.98 * len(gone)
 
 
+def test_near_candidates_come_from_simhash(monkeypatch):
+    """Fingerprints are plain SimHash; of sets at Jaccard 0.8 nearly all meet, strangers never do."""
+    rng = np.random.default_rng(8)
+
+    def draw(n):
+        return rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+    pairs = []
+    for k in range(300):
+        n = (18, 63, 900)[k % 3]  # divisible by 9: 8 of 9 in common are 0.8
+        common = draw(n * 8 // 9)
+        pairs += [np.concatenate([common, draw(n // 9)]), np.concatenate([common, draw(n // 9)])]
+    prints = neardup.fingerprints(pairs)
+    for x, got in zip(pairs[:6], prints, strict=False):
+        for w in range(neardup.WORDS):
+            votes = [int(v) for v in neardup._mix(x * neardup._VOTES[0, w] + neardup._VOTES[1, w])]
+            assert int(got[w]) == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in votes) > len(votes))
+    columns = [pa.array(np.full(600, -1)), pa.array(np.arange(600)), pa.array(list(prints.view(np.int64)), pa.list_(pa.int64()))]
+    dealt = pa.Table.from_batches(neardup._buckets([pa.RecordBatch.from_arrays(columns, ["rare", "key", "bands"])]))
+    dealt = dealt.sort_by([("band", "ascending"), ("key", "ascending")])
+    found = []
+    for many in (256, 1):
+        monkeypatch.setattr(neardup, "MANY", many)
+        rows = [r for b in neardup._meetings(dealt.to_batches(max_chunksize=7)) for r in b.to_pylist()]
+        found.append({(r["key"], r["centre"]) for r in rows if r["key"] != r["centre"]})
+    assert found[0] == found[1] and all(a == b + 1 and b % 2 == 0 for a, b in found[0])
+    assert len(found[0]) >= 290
+
+
 def test_pipeline_stages(spark, odd_rows):
     rng = random.Random(2)
     good = lambda: " ".join(f"the w{rng.randint(0, 9999)} of" for _ in range(60))
