@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
+import sys
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +30,16 @@ from arcwright.llm.text import Shelf, text_or_empty
 # Fixed value: the published pre-tokenization pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words and token pairs that an encoder keeps; beyond them a table starts anew.
-KEEP_WORDS = 800_000
-KEEP_PAIRS = 1_500_000
-#: Characters whose words are split, made distinct and put into tries together.
+#: Words that an encoder keeps, and bytes that they may take: half of either in the table in use, half
+#: in the one before it, from which words that come again move on.
+KEEP_WORDS = 600_000
+KEEP_BYTES = 120 << 20
+#: Token pairs that an encoder keeps; beyond them their table starts anew.
+KEEP_PAIRS = 500_000
+#: Bytes of a kept word's place in the table, beside the word and its ids.
+PLACE_BYTES = 70
+#: Characters whose words are split, made distinct and put into tries together. Of a batch, the rows
+#: of so many bytes are encoded and handed on before the next are read.
 BLOCK_CHARS = 2_000_000
 #: Bytes of new words per trie: what the trie's nodes may cost at once.
 TRIE_BYTES = 256 << 10
@@ -78,6 +87,8 @@ class TrieEncoder:
         self._stable: dict[tuple[int, int], bool] = {}
         self._marks = {_MARK + t: i.to_bytes(4, "little") for t, i in self.special.items()}
         self._words: dict[str, bytes] = dict(self._marks)
+        self._before: dict[str, bytes] = {}
+        self._kept = 0
         self._pattern = regex.compile(PATTERN)
         strings = sorted(self.special, key=len, reverse=True)
         self._cut = regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
@@ -106,6 +117,10 @@ class TrieEncoder:
             ids[at : at + 2] = [token]
         return ids
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        self._words[word] = ids
+        self._kept += PLACE_BYTES + sys.getsizeof(word) + sys.getsizeof(ids)
+
     def encode_words(self, words: list[str]) -> None:
         """Add the encodings of ``words`` to the table, trie by trie."""
         block: list[tuple[str, bytes]] = []
@@ -113,7 +128,7 @@ class TrieEncoder:
         for word in words:
             raw = word.encode()
             if len(raw) > LONG_BYTES:
-                self._words[word] = self._encode_alone(raw)
+                self._keep(word, self._encode_alone(raw))
                 continue
             block.append((word, raw))
             size += len(raw)
@@ -157,7 +172,7 @@ class TrieEncoder:
                     raise ValueError("the vocabulary lacks a byte")
             for b, below in node.items():
                 if b == -1:
-                    self._words[below] = self._read(last)
+                    self._keep(below, self._read(last))
                 else:
                     stack.append((path + _BYTES[b], below))
 
@@ -186,7 +201,7 @@ class TrieEncoder:
         while at > 0:
             out.append(last[at])
             at -= len(self.bytes_of[last[at]])
-        return np.array(out[::-1], "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out[::-1])
 
     def encode(self, text: str, special: bool = True) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
@@ -197,22 +212,25 @@ class TrieEncoder:
 
         Unless ``special``, the strings of special tokens are ordinary text.
         """
-        table = self._words
         at = 0
         while at < len(texts):
-            pieces, chars, new = [], 0, {}
+            if len(self._words) > KEEP_WORDS // 2 or self._kept > KEEP_BYTES // 2:
+                self._before, self._words, self._kept = self._words, dict(self._marks), 0
+            table, before = self._words, self._before
+            pieces, chars, missing = [], 0, {}
             while at < len(texts) and (not pieces or chars + len(texts[at]) <= BLOCK_CHARS):
                 words = self._split(texts[at], special)
                 pieces.append(words)
                 chars += len(texts[at])
-                new.update(dict.fromkeys(w for w in words if w not in table))
+                missing.update(dict.fromkeys(w for w in words if w not in table))
                 at += 1
-            if new:
-                if len(table) > KEEP_WORDS:
-                    table.clear()
-                    table.update(self._marks)
-                    new = dict.fromkeys(w for words in pieces for w in words if w not in table)
-                self.encode_words(list(new))
+            new = []
+            for word in missing:
+                if (ids := before.get(word)) is None:
+                    new.append(word)
+                else:
+                    self._keep(word, ids)
+            self.encode_words(new)
             for words in pieces:
                 yield b"".join(map(table.__getitem__, words))
 
@@ -245,6 +263,20 @@ def encoder(path: str) -> TrieEncoder:
     return _ENCODERS[path]
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose texts, the last column, have up to BLOCK_CHARS bytes, or of one row.
+
+    Spark's batches are of 10,000 rows, of which neither the texts nor the ids need stand in memory at once.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(), dtype=np.int64)
+        at = done = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, done + BLOCK_CHARS, "right")))
+            yield batch.slice(at, to - at)
+            at, done = to, ends[to - 1]
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool = True) -> DataFrame:
     """``docs`` without the text, with ``token_ids`` (array, if ``ids``), ``n_tokens``, ``ids_sha256``
     and ``decoded_sha256``.
@@ -264,7 +296,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for batch in batches:
+        for batch in parts(batches):
             lists, counts, id_digests, text_digests = [], [], [], []
             for packed in bpe.encode_many(batch.column(batch.num_columns - 1).to_pylist()):
                 counts.append(len(packed) // 4)

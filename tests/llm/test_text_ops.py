@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import random
 import re
+import sys
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -284,6 +287,33 @@ def test_bpe_tables_start_anew(tokenizer, monkeypatch, odd_rows):
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_bpe_tables_are_bounded_in_bytes(tokenizer, monkeypatch):
+    """Words of any length take no more than the bound, one block of texts aside, and frequent ones stay."""
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 20_000)
+    monkeypatch.setattr(bpe, "KEEP_BYTES", 200_000, raising=False)
+    rng = random.Random(5)
+    texts = [" often " + " ".join("".join(rng.choices("abcdeé", k=rng.choice((9, 200, 2000)))) for _ in range(20)) for _ in range(200)]
+    mine, most = bpe.TrieEncoder(bpe.default_vocabulary()), 0
+    for text, packed in zip(texts, mine.encode_many(texts), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        held = [x for table in (mine._words, getattr(mine, "_before", {})) for pair in table.items() for x in pair]
+        most = max(most, sum(map(sys.getsizeof, held)))
+    assert most < 500_000 and " often" in mine._words
+
+
+def test_bpe_takes_batches_in_parts(monkeypatch):
+    """Texts of a batch are taken up to BLOCK_CHARS bytes at a time, each row once and in order."""
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 100)
+    sizes = [0, 0, 60, 40, 1, 99, 1, 500, 0, 30, 101, 7, 0]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(["x" * n for n in sizes], kind)], ["id", "whole"])
+        parts = list(bpe.parts([whole.slice(0, 0), whole, whole.slice(2, 5)]))
+        assert pa.Table.from_batches(parts) == pa.Table.from_batches([whole, whole.slice(2, 5)])
+        taken = [[len(t) for t in part.column(1).to_pylist()] for part in parts]
+        assert all(sum(part) <= 100 or len(part) == 1 for part in taken)
+        assert taken[:3] == [[0, 0, 60, 40], [1, 99], [1]]
+
+
 def test_lm_holds_rare_bigrams_of_a_large_corpus(spark):
     """Seen once among more than 2**24 training tokens, a bigram still scores above its words alone."""
     held = [k for k in range(0, 4096 * 60, 4096) if zlib.crc32(str(k).encode()) % 5 == 1][0]
