@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcwright.operators.local import FINISH_EDGES, in_one_task
-from arcwright.operators.links import Links
+from arcwright.operators.blocks import Blocks, dense_ids
+from arcwright.operators.local import ARRAY_EDGES, in_one_task
 from arcwright.operators.order import number_rows
 from arcwright.session import discard, materialize
 
@@ -21,21 +21,19 @@ def pagerank(
     damping: float = 0.85,
     max_iterations: int = 100,
     tolerance: float = 1e-9,
-    finish_edges: int = FINISH_EDGES,
+    finish_edges: int = ARRAY_EDGES,
 ) -> tuple[DataFrame, int]:
     """``((node, pagerank), iterations)``; mass of nodes without out-edges is spread over all nodes.
 
-    An iteration is one job: join the scores to the edges on their source, sum by target, join back
-    to the nodes. The edges are dealt once, by source, and only scores and sums are shuffled. The mass that flows along edges is summed in the same job; what is missing from
-    the total was held by dangling nodes. The L1 change is observed while the scores are written.
-    At most ``finish_edges`` edges over as many dense ids are iterated on in one task.
+    The edges are laid out once as blocks, and an iteration multiplies them by the vector of scores: what
+    a task reads and holds is bounded, and only parts of vectors are shuffled. Mass of nodes without
+    out-edges and the L1 change are summed block by block. At most ``finish_edges`` edges over as many
+    dense ids are iterated on in one task.
     """
-    size = nodes.agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).first()
-    n = size["n"]
+    n, own, ids = dense_ids(nodes, edges)
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("pagerank")), 0
-    dense = size["low"] == 0 and size["high"] == n - 1
-    if dense and n <= finish_edges and edges.count() <= finish_edges:
+    if ids is None and n <= finish_edges and edges.count() <= finish_edges:
 
         def run(src, dst):
             scores, k = power_iteration(n, src, dst, damping, max_iterations, tolerance)
@@ -44,30 +42,44 @@ def pagerank(
         done = in_one_task(edges, ["src", "dst"], run, "node long, pagerank double, rounds long")
         done = materialize(done, "pr-scores")
         return done.drop("rounds"), done.first()["rounds"]
-    shares = edges.groupBy("src").agg(F.count("*").alias("_out"))
-    links = Links(edges.select("src", "dst").join(shares, "src").select("src", "dst", (1.0 / F.col("_out")).alias("share")))
-    scores = nodes.select("node", F.lit(1.0 / n).alias("score"))
+    blocks = Blocks(own, n)
+
+    def scored(score, out, old=None):
+        share = np.divide(score, out, out=np.zeros(len(score)), where=out > 0)
+        delta = 0.0 if old is None else float(np.abs(score - old).sum())
+        return {"score": score, "out": out, "share": share, "held": float(score[out == 0].sum()), "total": float(score.sum()), "delta": delta}
+
+    def degrees(first, at, flow):
+        return scored(at["score"], at["out"] if flow is None else flow)
+
+    state = blocks.start(
+        {"score": "f8", "out": "i8", "share": "f8"},
+        {"held": "double", "total": "double", "delta": "double"},
+        lambda first, size: scored(np.full(size, 1.0 / n), np.zeros(size, np.int64)),
+    )
+    seen = {x: F.sum(x) for x in ("held", "total", "delta")}
+    state, sums = blocks.round(state, [], lambda start, end, w, size: np.bincount(end, minlength=size), np.add, degrees, back=True, seen=seen)
     iterations = 0
     for iterations in range(1, max_iterations + 1):
-        flow = links.send(scores).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        held = scores.agg(F.sum("score").alias("mass")).crossJoin(flow.agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("moved")))
-        base = F.lit((1.0 - damping) / n) + F.lit(damping / n) * F.greatest(F.col("mass") - F.col("moved"), F.lit(0.0))
-        seen = Observation()
-        following = (
-            scores.join(flow, F.col("node") == F.col("dst"), "left")
-            .crossJoin(F.broadcast(held))
-            .select("node", F.col("score").alias("old"), (base + damping * F.coalesce("flow", F.lit(0.0))).alias("score"))
-            .observe(seen, F.sum(F.abs(F.col("score") - F.col("old"))).alias("delta"))
-            .drop("old")
-        )
-        following = materialize(following, "pr-scores")
-        discard(scores)
-        scores = following
-        if seen.get["delta"] < tolerance:
+        base = (1.0 - damping) / n + damping / n * sums["held"]
+
+        def update(first, at, flow, base=base):
+            return scored(np.full(len(at["out"]), base) if flow is None else base + damping * flow, at["out"], at["score"])
+
+        state, sums = blocks.round(state, ["share"], _flow_along, np.add, update, seen=seen)
+        if sums["delta"] < tolerance:
             break
-    links.close()
-    total = scores.agg(F.sum("score").alias("total"))
-    return scores.crossJoin(F.broadcast(total)).select("node", (F.col("score") / F.col("total")).alias("pagerank")), iterations
+    blocks.close()
+    total = sums["total"]
+    scores = blocks.table_of(state, lambda first, at: (np.arange(first, first + len(at["out"])), at["score"] / total), "node long, pagerank double")
+    discard(state)
+    if ids is not None:
+        scores = ids.join(scores.withColumnRenamed("node", "id"), "id").select("node", "pagerank")
+    return scores, iterations
+
+
+def _flow_along(start: np.ndarray, end: np.ndarray, weight: None, size: int, share: np.ndarray) -> np.ndarray:
+    return np.bincount(end, weights=share[start], minlength=size)
 
 
 def power_iteration(
