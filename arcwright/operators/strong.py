@@ -5,14 +5,15 @@ from __future__ import annotations
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwright.operators.components import FINISH_ROWS, connected_components
 from arcwright.operators.links import Links
-from arcwright.operators.local import FINISH_EDGES, Csr, depth_first, in_one_task, least_member
+from arcwright.operators.local import FINISH_EDGES, depth_first, in_one_task, least_member
 from arcwright.operators.order import number_rows
-from arcwright.session import discard, materialize, scratch_path
+from arcwright.session import discard, materialize, parts_for, scratch_path, settings
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
@@ -52,7 +53,8 @@ def strong_roots(nodes: DataFrame, edges: DataFrame, finish_edges: int = FINISH_
         top = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
 
         def run(src, dst):
-            comp, _ = depth_first(Csr(top + 1, src, dst))
+            start = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=top + 1))))
+            comp, _ = depth_first(start, dst[np.argsort(src, kind="stable")])
             used = sorted({*src.tolist(), *dst.tolist()})
             return used, least_member(comp)[used]
 
@@ -134,14 +136,56 @@ def number_strong(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def depth_first_forest(n: int, edges: DataFrame) -> DataFrame:
-    """``(node, scc_id, back_edges)`` of the sequential forest over ``ord``-sorted edges, in one task."""
+    """``(node, scc_id, back_edges)`` of the sequential forest over ``ord``-sorted edges.
 
-    def run(src, dst, ord_):
-        order = np.argsort(ord_, kind="stable")
-        comp, back = depth_first(Csr(n, src[order], dst[order]))
-        return np.arange(n), comp, np.full(n, back)
-
-    return in_one_task(edges, ["src", "dst", "ord"], run, "node long, scc_id long, back_edges long")
+    Depth-first order is sequential, so one task walks; the edges are sorted by source and ``ord``, and packed
+    to four bytes each, in many tasks before. The one task holds those and some numbers per node.
+    """
+    spark = edges.sparkSession
+    kind = np.dtype(np.int32 if n < 1 << 31 else np.int64)
+    parts = parts_for(spark, edges.count())
+    width = max(1, -(-n // parts))
+
+    def pack(batches):
+        held = list(batches)
+        if not held:
+            return
+        src, dst, ord_ = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in range(3))
+        order = np.lexsort((ord_, src))
+        src, dst = src[order], dst[order].astype(kind)
+        at, first = np.unique(src // width, return_index=True)
+        for b, x, y in zip(at.tolist(), first.tolist(), [*first[1:].tolist(), len(src)], strict=True):
+            counts = np.bincount(src[x:y] - b * width, minlength=width)
+            columns = [pa.array([b]), pa.array([y - x]), pa.array([counts.tobytes()], pa.binary()), pa.array([dst[x:y].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "edges", "counts", "dst"])
+
+    rows = edges.select("src", "dst", "ord").repartition(parts, F.floor(F.col("src") / width))
+    packed = materialize(rows.mapInArrow(pack, "block long, edges long, counts binary, dst binary"), "runs")
+    sizes = {r["block"]: r["edges"] for r in packed.select("block", "edges").collect()}
+    first, total = {}, 0
+    for b in sorted(sizes):
+        first[b], total = total, total + sizes[b]
+
+    def walk(batches):
+        dst, start = np.empty(total, kind), np.zeros(n + 1, np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b = batch.column(0)[k].as_py()
+                dst[first[b] : first[b] + sizes[b]] = np.frombuffer(batch.column(2)[k].as_buffer(), kind)
+                own = start[b * width + 1 : (b + 1) * width + 1]
+                own[:] = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)[: len(own)]
+        np.cumsum(start, out=start)
+        comp, back = depth_first(start, dst)
+        for a in range(0, n, 1 << 20):
+            part = comp[a : a + (1 << 20)]
+            columns = [np.arange(a, a + len(part)), part, np.full(len(part), back)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "scc_id", "back_edges"])
+
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
+        forest = packed.select("block", "counts", "dst").coalesce(1).mapInArrow(walk, "node long, scc_id long, back_edges long")
+        forest = materialize(forest, "forest")
+    discard(packed)
+    return forest
 
 
 def component_sizes(labels: DataFrame, label: str) -> DataFrame:
