@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import count
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwright.operators.links import Links
+from arcwright.operators.blocks import Blocks, dense_ids
 from arcwright.operators.local import FINISH_EDGES, Csr, dijkstra, in_one_task
-from arcwright.session import scratch_path
+from arcwright.session import discard, materialize
+
+#: Farther than any node; a weight on top of it still fits.
+FAR = 1 << 62
+#: Ids up to so many times the edges are taken as they are; with larger ones, the nodes are numbered.
+SPARE = 4
 
 
 def distances(
@@ -22,15 +26,15 @@ def distances(
 ) -> DataFrame:
     """``(node, distance)`` of every node that ``source`` reaches along out-edges, itself at 0.
 
-    Edges beyond ``finish_edges`` are relaxed in rounds. The frontier, the nodes whose distance just
-    fell, is sent along the edges, which are laid out once; the least sum per node is kept where it
-    is an improvement, and appended to what earlier rounds wrote, which nothing rewrites. A round is
+    The edges beyond ``finish_edges`` are relaxed in rounds: each is a product of the blocks of edges with the
+    distances that just fell, and the least sum per node is kept where it is an improvement. A round is
     the last if ``target`` can no longer improve, or if ``nearest_k`` nodes besides the source are
-    nearer than the frontier, and so final. Fewer edges go to one task.
+    nearer than what just fell, and so final. Fewer edges go to one task.
     """
     weight = F.col("weight") if weighted else F.lit(1).cast("long")
     edges = edges.select("src", "dst", weight.alias("weight"))
-    if edges.count() <= finish_edges:
+    many = edges.count()
+    if many <= finish_edges:
 
         def run(src, dst, weight):
             top = max([source, *(int(a.max()) for a in (src, dst) if len(a))])
@@ -38,34 +42,67 @@ def distances(
 
         return in_one_task(edges, ["src", "dst", "weight"], run, "node long, distance long")
     spark = edges.sparkSession
-    links = Links(edges)
-    path, schema = scratch_path(spark, "dist"), "node long, distance long"
-    frontier = spark.createDataFrame([(source, 0)], schema)
-    for number in count():
-        frontier.write.parquet(f"{path}/round={number}")
-        best = spark.read.schema(schema).parquet(path).groupBy("node").agg(F.min("distance").alias("distance"))
-        frontier = spark.read.schema(schema).parquet(f"{path}/round={number}")
-        front = frontier.agg(F.min("distance")).first()[0]
-        if front is None or _settled(best, front, target, nearest_k):
-            links.close()
-            return best
-        reach = links.send(frontier).groupBy("dst").agg(F.min(F.col("distance") + F.col("weight")).alias("through"))
-        frontier = (
-            reach.join(best, F.col("dst") == F.col("node"), "left")
-            .filter(F.col("distance").isNull() | (F.col("through") < F.col("distance")))
-            .select(F.col("dst").alias("node"), F.col("through").alias("distance"))
-        )
-    raise AssertionError("the rounds have no end of their own")
-
-
-def _settled(best: DataFrame, front: int, target: int | None, nearest_k: int | None) -> bool:
-    """Whether no node that is asked for can come nearer: sums through the frontier are ``front`` at least."""
-    if target is None and nearest_k is None:
-        return False
-    at_target = F.min(F.when(F.col("node") == F.lit(target), F.col("distance")))
-    seen = best.agg(at_target.alias("at"), F.count_if(F.col("distance") < front).alias("final")).first()
-    there = target is not None and seen["at"] is not None and seen["at"] <= front
-    return there or (nearest_k is not None and seen["final"] > nearest_k)
+    ends = edges.agg(F.min(F.least("src", "dst")).alias("low"), F.max(F.greatest("src", "dst")).alias("high")).first()
+    low, high = (f(x for x in (source, bound) if x is not None) for f, bound in ((min, ends["low"]), (max, ends["high"])))
+    if low >= 0 and high <= SPARE * max(many, 1000):
+        n, ids = high + 1, None
+    else:
+        nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).union(spark.createDataFrame([(source,)], "node long")).distinct()
+        n, edges, ids = dense_ids(materialize(nodes, "ends"), edges)
+        if ids is not None:
+            own = {r["node"]: r["id"] for r in ids.filter(F.col("node").isin(source, source if target is None else target)).collect()}
+            source, target = own[source], None if target is None else own.get(target)
+    blocks = Blocks(edges, n, weighted)
+
+    def values(dist, fell, first):
+        here = target is not None and first <= target < first + len(dist)
+        front = int(dist[fell].min()) if fell.any() else FAR
+        return {"dist": dist, "sent": np.where(fell, dist, FAR), "moved": int(fell.sum()), "front": front, "at": int(dist[target - first]) if here else FAR}
+
+    def begin(first, size):
+        dist = np.where(np.arange(first, first + size) == source, 0, FAR)
+        return values(dist, dist == 0, first)
+
+    def relax(first, at, flow):
+        fell = np.zeros(len(at["dist"]), bool) if flow is None else flow < at["dist"]
+        return values(np.where(fell, flow, at["dist"]) if fell.any() else at["dist"], fell, first)
+
+    seen = {"moved": F.sum("moved"), "front": F.min("front"), "at": F.min("at")}
+    state = blocks.start({"dist": "i8", "sent": "i8"}, {"moved": "long", "front": "long", "at": "long"}, begin)
+    now = {"moved": 1, "front": 0, "at": FAR}
+    while now["moved"] and not (target is not None and now["at"] <= now["front"]):
+        if nearest_k is not None and _nearer(blocks, state, now["front"]) > nearest_k:
+            break
+        state, now = blocks.round(state, ["sent"], _through, np.minimum, relax, only=F.col("moved") > 0, seen=seen)
+    blocks.close()
+    found = blocks.table_of(state, _reached, "node long, distance long")
+    discard(state)
+    if ids is not None:
+        found = found.withColumnRenamed("node", "id").join(ids, "id").select("node", "distance")
+    return found
+
+
+def _through(start: np.ndarray, end: np.ndarray, weight: np.ndarray | None, size: int, sent: np.ndarray) -> np.ndarray | None:
+    through = sent[start]
+    own = np.flatnonzero(through < FAR)
+    if not len(own):
+        return None
+    out = np.full(size, FAR)
+    np.minimum.at(out, end[own], through[own] + (1 if weight is None else weight[own]))
+    return out
+
+
+def _reached(first: int, at: dict) -> tuple[np.ndarray, np.ndarray]:
+    own = np.flatnonzero(at["dist"] < FAR)
+    return own + first, at["dist"][own]
+
+
+def _nearer(blocks: Blocks, state: DataFrame, front: int) -> int:
+    """Nodes nearer than ``front``: sums through what just fell are ``front`` at least."""
+    counts = blocks.table_of(state, lambda first, at: (np.array([(at["dist"] < front).sum()]),), "n long")
+    n = counts.agg(F.sum("n")).first()[0]
+    discard(counts)
+    return n
 
 
 def shortest_distance(edges: DataFrame, source: int, target: int, weighted: bool = False, **options) -> int:

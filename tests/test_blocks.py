@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arcwright.operators import ranking
+from arcwright.operators import paths, ranking, strong
 from arcwright.operators.blocks import Blocks
-from tests.test_graph import frame, plain_pagerank, random_graph
+from tests.test_graph import bellman, frame, plain_pagerank, random_graph
 
 
 def total(got, flow):
@@ -51,3 +51,23 @@ def test_pagerank_of_nodes_with_gaps(spark):
     scores, _ = ranking.pagerank(nodes, frame(spark, [(far(a), far(b)) for a, b in edges]), max_iterations=12)
     want, _ = plain_pagerank(12, edges, rounds=12)
     assert {r["node"]: r["pagerank"] for r in scores.collect()} == pytest.approx({far(v): s for v, s in enumerate(want)}, abs=1e-12)
+
+
+@pytest.mark.parametrize("gap", [1, 10**9])
+def test_distances_over_several_blocks(spark, gap):
+    """Ids as they are, and ids too far apart for blocks of their own."""
+    edges = random_graph(700, 2500, 8)
+    df = frame(spark, [(a * gap, b * gap, w) for (a, b), w in edges])
+    got = {r["node"]: r["distance"] for r in paths.distances(df, 5 * gap, True, finish_edges=0).collect()}
+    assert got == {v * gap: d for v, d in bellman(edges, 5).items()}
+    assert paths.shortest_distance(df, 5 * gap, 6 * gap, True, finish_edges=0) == bellman(edges, 5).get(6, -1)
+
+
+def test_strong_components_over_several_blocks(spark):
+    """Two rounds at least: a source-only node below, a small component behind another's colour, gaps between ids."""
+    rng = np.random.default_rng(2)
+    edges = [(0, 1), (1, 2), (2, 1), (2, 3), (3, 4), (4, 3)] + [(int(a), int(b)) for a, b in rng.integers(5, 600, (650, 2)) if a != b]
+    far = strong.strong_roots(spark.range(600).select((F.col("id") * 5).alias("node")), frame(spark, [(a * 5, b * 5) for a, b in edges]), 0)
+    near = strong.strong_roots(spark.range(600).select(F.col("id").alias("node")), frame(spark, edges))
+    want = {r["node"]: r["scc_root"] for r in near.collect()}
+    assert {r["node"] // 5: r["scc_root"] // 5 for r in far.collect()} == want and want[4] == 3 and want[2] == 1
