@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcwright.operators.blocks import Blocks, dense_ids
 from arcwright.operators.components import FINISH_ROWS, connected_components
-from arcwright.operators.links import Links
-from arcwright.operators.local import FINISH_EDGES, depth_first, in_one_task, least_member
+from arcwright.operators.local import ARRAY_EDGES, depth_first, in_one_task, least_member
 from arcwright.operators.order import number_rows
-from arcwright.session import discard, materialize, parts_for, scratch_path, settings
+from arcwright.session import discard, materialize, parts_for, settings
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
@@ -24,39 +22,36 @@ def weak_components(nodes: DataFrame, edges: DataFrame, finish_rows: int = FINIS
     return rooted.join(numbers, "root").select("node", (F.col("n") - 1).alias("wcc_id"))
 
 
-def strong_roots(nodes: DataFrame, edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
+def strong_roots(nodes: DataFrame, edges: DataFrame, finish_edges: int = ARRAY_EDGES) -> DataFrame:
     """``(node, scc_root)``: the smallest node of each node's strongly connected component.
 
     While the edges are many: nodes without an in- or out-edge are components of their own and go;
     the least node that reaches a node becomes its colour; what a colour's own node is reached from
-    within its colour is that node's component. Edges inside the rest go round again. A residue of
-    at most ``finish_edges`` edges goes to one depth-first task.
+    within its colour is that node's component. Edges inside the rest go round again. A round is a
+    product with the blocks of edges. A residue of at most ``finish_edges`` edges goes to one
+    depth-first task.
     """
-    edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "scc-edges")
+    n, edges, ids = dense_ids(nodes, edges.select("src", "dst").filter("src <> dst"))
+    edges = materialize(edges.select("src", "dst"), "scc-edges")
     settled: list[DataFrame] = []
-    while (n := edges.count()) > finish_edges and n:
-        inner = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
-        colour = _spread(inner, edges)
-        inside = edges.join(colour.toDF("src", "_cs"), "src").join(colour.toDF("dst", "_cd"), "dst").filter("_cs = _cd")
-        inside = materialize(inside.select("src", "dst", F.col("_cs").alias("colour")), "scc-inside")
-        found = _reached_back(inside)
-        settled.append(found)
-        left = edges.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(
-            found.select(F.col("node").alias("dst")), "dst", "left_anti"
-        )
+    while (many := edges.count()) > finish_edges and many:
+        blocks = Blocks(edges, n)
+        state = _reached_back(blocks, _coloured(blocks))
+        settled.append(blocks.table_of(state, _marked, "node long, scc_root long"))
         # Only edges within one colour can lie on a cycle.
-        left = left.join(inside.select("src", "dst"), ["src", "dst"], "left_semi")
-        left = materialize(left, "scc-edges")
-        discard(edges)
+        left = blocks.edges_where(state, "left", lambda a, b: (a == b) & (a >= 0))
+        for done in (state, edges):
+            discard(done)
+        blocks.close()
         edges = left
-    if not edges.isEmpty():
-        top = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
+    if many:
 
         def run(src, dst):
-            start = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=top + 1))))
+            used, ends = np.unique(np.concatenate((src, dst)), return_inverse=True)
+            src, dst = ends[: len(src)], ends[len(src) :]
+            start = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=len(used)))))
             comp, _ = depth_first(start, dst[np.argsort(src, kind="stable")])
-            used = sorted({*src.tolist(), *dst.tolist()})
-            return used, least_member(comp)[used]
+            return used, used[least_member(comp)]
 
         settled.append(in_one_task(edges, ["src", "dst"], run, "node long, scc_root long"))
     out = nodes.select("node")
@@ -65,47 +60,99 @@ def strong_roots(nodes: DataFrame, edges: DataFrame, finish_edges: int = FINISH_
     found = settled[0]
     for more in settled[1:]:
         found = found.union(more)
+    if ids is not None:
+        root = ids.toDF("_root", "_id")
+        found = found.toDF("id", "_id").join(ids, "id").join(root, "_id").select("node", F.col("_root").alias("scc_root"))
     return out.join(found, "node", "left").select("node", F.coalesce("scc_root", "node").alias("scc_root"))
 
 
-def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, colour)``: the least node that reaches each node, itself included. Only colours that fell are sent on."""
-    links = Links(edges)
-    colour = materialize(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")), "colour")
-    while True:
-        passed = links.send(colour.filter("moved").drop("moved")).groupBy("dst").agg(F.min("colour").alias("c"))
-        following = materialize(
-            colour.drop("moved").join(passed, F.col("node") == F.col("dst"), "left").select(
-                "node", F.least("colour", "c").alias("colour"), (F.coalesce("c", "colour") < F.col("colour")).alias("moved")
-            ),
-            "colour",
-        )
-        discard(colour)
-        colour = following
-        if colour.filter("moved").isEmpty():
-            links.close()
-            return colour.drop("moved")
+#: No colour yet.
+NONE = np.iinfo(np.int64).max
+
+
+def _coloured(blocks: Blocks) -> DataFrame:
+    """A vector with the ``colour`` of each ``inner`` node, one with edges in and out: the least inner node that reaches it."""
+
+    def values(inner, colour, moved, marked=None):
+        marked = np.zeros(len(inner), bool) if marked is None else marked
+        return _values(inner, colour, marked, moved)
+
+    def ends(start, end, weight, size):
+        return np.bincount(end, minlength=size)
+
+    def with_out(first, at, flow):
+        return values(at["inner"] if flow is None else flow > 0, at["colour"], 0)
+
+    def with_in(first, at, flow):
+        inner = (at["inner"] > 0) & (False if flow is None else flow > 0)
+        own = np.arange(first, first + len(inner))
+        return values(inner, np.where(inner, own, NONE), inner.sum())
+
+    def fallen(first, at, flow):
+        falls = (at["inner"] > 0) & (False if flow is None else flow < at["colour"])
+        return values(at["inner"], np.where(falls, at["colour"] if flow is None else flow, at["colour"]), falls.sum())
 
+    state = blocks.start(
+        {"colour": "i8", "inner": "i1", "reach": "i8", "left": "i8"}, {"moved": "long"},
+        lambda first, size: values(np.zeros(size, bool), np.full(size, NONE), 0),
+    )
+    seen = {"moved": F.sum("moved")}
+    state, _ = blocks.round(state, [], ends, np.add, with_out, back=True)
+    state, moved = blocks.round(state, [], ends, np.add, with_in, seen=seen)
+    while moved["moved"]:
+        state, moved = blocks.round(state, ["colour"], _least, np.minimum, fallen, only=F.col("moved") > 0, seen=seen)
+    return state
 
-def _reached_back(inside: DataFrame) -> DataFrame:
-    """``(node, scc_root)``: in each colour, the nodes from which the colour's own node is reached.
 
-    Edges run inside one colour, so a node's colour need not be sent along. Rounds are appended.
+def _values(inner, colour, marked, moved) -> dict:
+    """``reach`` has the colour of marked nodes, ``left`` that of the inner rest."""
+    inner = np.asarray(inner) > 0
+    reach, left = np.where(marked, colour, -1), np.where(inner & ~marked, colour, -1)
+    return {"colour": colour, "inner": inner, "reach": reach, "left": left, "moved": int(moved)}
+
+
+def _least(start: np.ndarray, end: np.ndarray, weight: None, size: int, colour: np.ndarray) -> np.ndarray:
+    out = np.full(size, NONE)
+    np.minimum.at(out, end, colour[start])
+    return out
+
+
+def _greatest(start: np.ndarray, end: np.ndarray, weight: None, size: int, reach: np.ndarray) -> np.ndarray:
+    out = np.full(size, -1)
+    np.maximum.at(out, end, reach[start])
+    return out
+
+
+def _reached_back(blocks: Blocks, state: DataFrame) -> DataFrame:
+    """The vector with those inner nodes marked from which their colour's own node is reached within the colour.
+
+    A node's colour is none below that of the nodes that it has edges to; so the greatest colour of the marked
+    ones among them tells whether one has its own.
     """
-    links = Links(inside.select("src", "dst", "colour"), by="dst", to="src")
-    path, schema = scratch_path(inside.sparkSession, "back"), "node long, colour long"
-    fresh = inside.filter("dst = colour").select(F.col("colour").alias("node"), "colour").distinct()
-    spark = inside.sparkSession
-    for number in count():
-        fresh.write.parquet(f"{path}/round={number}")
-        found = spark.read.schema(schema).parquet(path)
-        fresh = spark.read.schema(schema).parquet(f"{path}/round={number}")
-        if fresh.isEmpty():
-            links.close()
-            return found.select("node", F.col("colour").alias("scc_root"))
-        sent = links.send(fresh.select("node")).select(F.col("src").alias("node"), "colour").distinct()
-        fresh = sent.join(found, "node", "left_anti")
-    raise AssertionError("the rounds have no end of their own")
+
+    def mark(first, at, flow):
+        inner, marked = at["inner"] > 0, at["reach"] >= 0
+        met = (np.arange(first, first + len(inner)) if flow is None else flow) == at["colour"]
+        fresh = inner & ~marked & met
+        return _values(inner, at["colour"], marked | fresh, fresh.sum())
+
+    def begin(first, at, flow):
+        return mark(first, at, None)
+
+    def go_on(first, at, flow):
+        return mark(first, at, np.full(len(at["inner"]), -1) if flow is None else flow)
+
+    seen = {"moved": F.sum("moved")}
+    nothing = lambda start, end, weight, size: None
+    state, moved = blocks.round(state, [], nothing, np.add, begin, seen=seen)
+    while moved["moved"]:
+        state, moved = blocks.round(state, ["reach"], _greatest, np.maximum, go_on, back=True, only=F.col("moved") > 0, seen=seen)
+    return state
+
+
+def _marked(first: int, at: dict) -> tuple[np.ndarray, np.ndarray]:
+    own = np.flatnonzero(at["reach"] >= 0)
+    return own + first, at["reach"][own]
 
 
 def number_strong(roots: DataFrame, edges: DataFrame) -> DataFrame:
